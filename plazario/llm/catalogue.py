@@ -6,7 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plazario.common import durable, table
-from plazario.llm import mixing, plain, tokens
+from plazario.llm import history, mixing, near, plain, tokens
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["seq", "job_id", "title_raw", "description_text"]
+    return history.known_again(table(spark, sf_dir, "new_batches", *columns), table(spark, sf_dir, "postings", *columns), *columns)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, pairs = near.near_duplicates(table(spark, sf_dir, "postings", "job_id", "title_raw", "description_text"), "job_id", "title_raw", "description_text")
+    return near.all_pairs(members, pairs, "job_id").toDF("job_id_a", "job_id_b")
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each posting with the class of its text, the size of the class and the links of the class to other texts."""
+    members, pairs = near.near_duplicates(table(spark, sf_dir, "postings", "job_id", "title_raw", "description_text"), "job_id", "title_raw", "description_text")
+    pairs = durable(pairs)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n_copies"))
+    return members.join(sizes, "rep").join(links, "rep", "left").select("job_id", F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +59,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p7_found, p7_plain, p8_ids, p9_mixture, p9_shares]
+    own = [p1_found, p3_found, p3_classes, p7_found, p7_plain, p8_ids, p9_mixture, p9_shares]
     return {f.__name__: f for f in own}
 
 
