@@ -44,13 +44,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
-    """Rebalance rows over at least as many tasks as the session has cores, for CPU-heavy Python stages.
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for a CPU-heavy Python stage: rebalanced only if it has too few splits to keep the session's cores busy.
 
-    A handful of input splits would otherwise keep most cores idle.  Only the selected columns move.
+    ``df`` must be a scan with narrow operations.  Large inputs have splits enough, so nothing is shuffled there.
     """
-    n = max(least, partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, *[F.col(k) for k in keys]) if keys else df.repartition(n)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= min(cores, 6) // 2 else df.repartition(cores)
 
 
 def blank_to_null(c) -> F.Column:

@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 SLICE = 512
 
 
-def sliced(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, slice_rows: int = SLICE) -> DataFrame:
-    """Inner equi-join of ``left`` and ``right`` on ``keys``; a key with many rows on the left is cut into slices.
+def sliced(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, rows: str, slice_rows: int = SLICE) -> DataFrame:
+    """Inner equi-join on ``keys`` where both sides carry ``rows``, the (estimated) number of left rows of the key.
 
-    Every left row goes to one slice of its key, every right row of such a key to all its slices, so the join is whole and the
-    work on a hot key spreads over as many tasks as it has slices.  Keys that are not hot are joined once, unsalted.
+    Every left row goes to one of ceil(rows / slice_rows) slices of its key and every right row to all of them, so the join is whole and the work
+    on a hot key spreads over as many tasks as it has slices.  An estimate that is off changes only the number of slices,
+    but both sides must carry the same one.
     """
-    hot = left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
-    hot = hot.select(*keys, F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"))
-    n = F.coalesce("slices", F.lit(1))
-    a = left.join(hot, keys, "left").withColumn("slice", F.expr(f"cast(pmod(xxhash64({left_id}), coalesce(slices, 1)) as int)")).drop("slices")
-    b = right.join(hot, keys, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1))).drop("slices")
+    n = F.greatest(F.ceil(F.col(rows) / slice_rows), F.lit(1)).cast("int")
+    a = left.withColumn("slice", F.pmod(F.xxhash64(left_id), n).cast("int")).drop(rows)
+    b = right.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1))).drop(rows)
     return a.join(b, [*keys, "slice"]).drop("slice")
