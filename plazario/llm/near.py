@@ -1,11 +1,11 @@
 """Near-duplicate records (byte-position inverted index with count filtering, then exact verification).
 
-Every text becomes a signature of POSITIONS bytes: byte i is one byte of the smallest value that the i-th hash function gives over
-the text's word shingles, so two texts agree at a position with probability J + (1 - J) / 256 where J is the share of their shingles
-in both.  The inverted index lists texts by position and content; as a single byte has 256 values and its lists would
-grow with the collection, an entry is the run of RUN neighbouring positions.  Texts of one list are paired, the shared positional bytes are
-tallied, first over PART bytes that travel with the entry, then over the whole signature, and pairs below the minimum that J >= 1/2
-guarantees (but for a chance below 1e-3) are dropped.  What is left is verified on the shingles themselves, so no wrong pair comes out.
+Every text becomes a signature of bytes: byte i is one byte of the smallest value that the i-th hash function gives over the text's word shingles,
+so two texts agree at a position with probability J + (1 - J) / 256 where J is the share of their shingles in both.  The inverted index
+lists texts by position and content; as a single byte has 256 values and its lists would grow with the collection, an entry stands for the
+run of RUN neighbouring positions, and carries PART further bytes of the signature.  Texts of one list are paired, the shared positional
+bytes of a pair (its runs and their parts) are tallied over all lists, and pairs below LEAST_BYTES are dropped.  What is left is verified on
+the shingles themselves, so no wrong pair comes out.  Chance of a pair to be found: 0.996 at J = 0.65, 0.9993 at 0.7, above 0.99999 at 0.8.
 
 Copies (equal shingles) are one representative through all of this and are put back at the end; long lists are sliced.
 """
@@ -22,14 +22,17 @@ from pyspark.sql import functions as F
 
 from plazario.common import durable, spread
 from plazario.llm import shingles as S
-from plazario.operators.pairing import sliced
+from plazario.operators.pairing import SLICE, sliced
 
-POSITIONS, RUN, PART = 160, 4, 32
-#: Least agreeing bytes of PART and of POSITIONS for J >= 1/2: expected 16 and 80, less 3 and 4 standard deviations.
-LEAST_PART, LEAST_ALL = 8, 55
+RUNS, RUN, PART = 30, 4, 8
+POSITIONS = RUNS * RUN
+#: Least agreeing bytes of the part for a meeting to count, and of all runs and parts of a pair together.
+LEAST_PART, LEAST_BYTES = 2, 8
 #: Words that a description needs.
 LEAST_WORDS = 40
 THRESHOLD = 0.5
+#: Lists are sized on every SAMPLE-th text; only how they are sliced depends on it.
+SAMPLE = 64
 
 _SEEDS = S.mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64))
 _TIMES, _PLUS = (_SEEDS[:POSITIONS] | np.uint64(1))[:, None], _SEEDS[POSITIONS:][:, None]
@@ -37,39 +40,58 @@ _SLAB = 2048
 
 
 def signature(sh: np.ndarray) -> np.ndarray:
-    """POSITIONS bytes as int64 words; of any number of shingles, in slabs of bounded memory."""
+    """POSITIONS bytes; of any number of shingles, in slabs of bounded memory."""
     least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(sh), _SLAB):
         least = np.minimum(least, (sh[i : i + _SLAB][None, :] * _TIMES + _PLUS).min(axis=1))
-    return (S.mix(least) >> np.uint64(56)).astype(np.uint8).view(np.int64)
+    return (S.mix(least) >> np.uint64(56)).astype(np.uint8)
 
 
-def features(df: DataFrame, key: str, title: str, body: str, carry: list[str] | None = None) -> DataFrame:
-    """(key, carry..., content binary, shingles array<bigint>, signature array<bigint>) of the rows whose ``body`` has LEAST_WORDS words."""
-    keep = [key, *(carry or [])]
+def _texts(title: pa.Array, body: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Row and words of title and body where the body has LEAST_WORDS words."""
+    for i, (t, d) in enumerate(zip(title.to_pylist(), body.to_pylist(), strict=True)):
+        below = S.words(d)
+        if len(below) >= LEAST_WORDS:
+            yield i, [*S.words(t), *below]
+
+
+def content_id(sh: np.ndarray) -> int:
+    """64 bits that equal texts share.  Should two texts ever share them by chance, verification still looks at both."""
+    return xxhash.xxh3_64_intdigest(sh.tobytes()) - (1 << 63)
+
+
+def signatures(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
+    """(key, id, signature) of the rows whose ``body`` has LEAST_WORDS words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = S.Hasher()
         for b in batches:
-            rows, content, sh_all, sig_all = [], [], [], []
-            for i, (t, d) in enumerate(zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True)):
-                below = S.words(d)
-                if len(below) < LEAST_WORDS:
-                    continue
-                sh = S.shingles(hasher([*S.words(t), *below]))
+            rows, ids, sigs = [], [], []
+            for i, ws in _texts(b.column(1), b.column(2)):
+                sh = S.shingles(hasher(ws))
                 rows.append(i)
-                content.append(xxhash.xxh3_128_digest(sh.tobytes()))
-                sh_all.append(sh.view(np.int64))
-                sig_all.append(signature(sh))
-            left = b.take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*left.columns[: len(keep)], pa.array(content, pa.binary()), pa.array(sh_all, pa.list_(pa.int64())), pa.array(sig_all, pa.list_(pa.int64()))],
-                [*keep, "content", "shingles", "signature"],
-            )
+                ids.append(content_id(sh))
+                sigs.append(signature(sh).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["key", "id", "signature"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return spread(df.select(F.col(key), F.col(title), F.col(body))).mapInArrow(run, f"key {kind}, id bigint, signature binary")
+
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    rows = spread(df.select(*keep, df[title].alias("the title"), df[body].alias("the body")))
-    return rows.mapInArrow(run, f"{kinds}, content binary, shingles array<bigint>, signature array<bigint>")
+def shingle_sets(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
+    """(key, shingles) of the rows of ``df``, whose bodies are long enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = S.Hasher()
+        for b in batches:
+            rows, sets = [], []
+            for i, ws in _texts(b.column(1), b.column(2)):
+                rows.append(i)
+                sets.append(S.shingles(hasher(ws)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key), F.col(title), F.col(body)).mapInArrow(run, f"key {kind}, shingles array<bigint>")
 
 
 def equal_bytes(a: Column, b: Column) -> Column:
@@ -80,68 +102,76 @@ def equal_bytes(a: Column, b: Column) -> Column:
     return F.lit(8) - F.bit_count(x)
 
 
-def tally(a: Column, b: Column) -> Column:
-    """Number of agreeing positions of two signatures (or equal parts of them)."""
-    return F.aggregate(F.zip_with(a, b, equal_bytes), F.lit(0), lambda s, x: s + x)
-
-
 def jaccard(a: Column, b: Column) -> Column:
-    """Share of distinct shingles in both, exactly."""
+    """Share of distinct shingles in both, exactly; 0 for two empty sets."""
     both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
-
-
-def entries(reps: DataFrame, key: str) -> DataFrame:
-    """The index: (run, bytes, key, part) with one row for each run of positions of each text."""
-    words = POSITIONS // 8
-    part = PART // 8
-    half = lambda x, upper: F.when(upper == 0, x.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(x, 8 * RUN))
-    item = lambda j: F.struct(
-        j.alias("run"),
-        half(F.element_at("signature", (F.floor(j / 2) + 1).cast("int")), j % 2).alias("bytes"),
-        F.transform(F.sequence(F.lit(1), F.lit(part)), lambda k: F.element_at("signature", ((F.floor(j / 2) + k) % words + 1).cast("int"))).alias("part"),
-    )
-    runs = F.transform(F.sequence(F.lit(0), F.lit(POSITIONS // RUN - 1)), item)
-    return reps.select(key, F.explode(runs).alias("e")).select(key, "e.run", "e.bytes", "e.part")
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
-def similar_representatives(reps: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity), a < b, of the texts of ``reps`` (key, shingles, signature) that share ``threshold`` of their shingles."""
-    index = entries(reps, key)
-    left = index.select("run", "bytes", F.col(key).alias("a"), F.col("part").alias("part_a"))
-    right = index.select("run", "bytes", F.col(key).alias("b"), F.col("part").alias("part_b"))
-    met = sliced(left, right, ["run", "bytes"], "a").where((F.col("a") < F.col("b")) & (tally(F.col("part_a"), F.col("part_b")) >= LEAST_PART))
-    pairs = met.select("a", "b").distinct()
-    full = reps.select(key, "shingles", "signature")
-    both = pairs.join(full.toDF("a", "sh_a", "sig_a"), "a").join(full.toDF("b", "sh_b", "sig_b"), "b")
-    counted = both.where(tally(F.col("sig_a"), F.col("sig_b")) >= LEAST_ALL)
-    return counted.select("a", "b", jaccard(F.col("sh_a"), F.col("sh_b")).alias("similarity")).where(F.col("similarity") >= threshold)
+def entries(reps: DataFrame) -> DataFrame:
+    """The index of (id, signature): one row (place, id, part) for each run; ``place`` is the run's number and bytes."""
 
-
-def classes(feats: DataFrame, key: str) -> DataFrame:
-    """(content, key of the representative): the smallest key among the rows of equal shingles."""
-    return feats.groupBy("content").agg(F.min(key).alias("rep"))
-
-
-def near_duplicates(df: DataFrame, key: str, title: str, body: str) -> tuple[DataFrame, DataFrame]:
-    """Members (key, rep) of classes of equal texts, and pairs (a, b, similarity) of similar representatives.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(RUNS, dtype=np.int64) << 32
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            place = number + np.ascontiguousarray(sig).view(np.uint32).astype(np.int64)
+            # the part: the PART bytes that follow the run, around the end
+            around = np.hstack([sig, sig[:, : PART + RUN]])
+            part = np.stack([np.ascontiguousarray(around[:, j + RUN : j + RUN + PART]).view(np.int64)[:, 0] for j in range(0, POSITIONS, RUN)], axis=1) if len(sig) else place
+            for i in range(0, len(sig), 1024):
+                ids = np.repeat(b.column(0).to_numpy()[i : i + 1024], RUNS)
+                yield pa.RecordBatch.from_arrays([pa.array(place[i : i + 1024].ravel()), pa.array(ids), pa.array(part[i : i + 1024].ravel())], ["place", "id", "part"])
+
+    return reps.select("id", "signature").mapInArrow(run, "place bigint, id bigint, part bigint")
+
+
+def meetings(reps: DataFrame) -> DataFrame:
+    """(a, b): ids, a < b, of texts whose tally of shared positional bytes reaches LEAST_BYTES."""
+    index = entries(reps)
+    least = max(2, SLICE // SAMPLE)
+    hot = entries(reps.where(F.pmod("id", F.lit(SAMPLE)) == 0)).groupBy("place").agg((F.count("*") * SAMPLE).alias("rows")).where(F.col("rows") >= least * SAMPLE)
+    hot = durable(hot)
+    left, right = index.toDF("place", "a", "part_a"), index.toDF("place", "b", "part_b")
+    if hot.isEmpty():
+        met = left.join(right, "place")
+    else:
+        rows = F.coalesce("rows", F.lit(1)).alias("rows")
+        a = left.join(hot, "place", "left").select("place", "a", "part_a", rows)
+        b = right.join(hot, "place", "left").select("place", "b", "part_b", rows)
+        met = sliced(a, b, ["place"], "a", "rows")
+    agree = equal_bytes(F.col("part_a"), F.col("part_b"))
+    met = met.where(F.col("a") < F.col("b")).select("a", "b", agree.alias("agree")).where(F.col("agree") >= LEAST_PART)
+    return met.groupBy("a", "b").agg(F.sum(F.col("agree") + RUN).alias("shared")).where(F.col("shared") >= LEAST_BYTES).select("a", "b")
+
+
+def near_duplicates(df: DataFrame, key: str, title: str, body: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Members (key, id, rep, copies) of classes of equal texts, and pairs (a, b, similarity) of representatives that share ``threshold`` of their shingles.
 
     Rows whose body is null, empty or has fewer than LEAST_WORDS words are in neither; a null title counts as empty; rows of a null key are left out;
     of rows that repeat a key all take part; very long texts are used whole; empty input gives empty results.
     """
-    feats = durable(features(df.where(F.col(key).isNotNull()), key, title, body))
-    reps = classes(feats, key)
-    members = feats.select(key, "content").distinct().join(reps, "content").select(key, "rep")
-    heads = feats.join(reps, (feats["content"] == reps["content"]) & (feats[key] == reps["rep"]), "left_semi").dropDuplicates([key])
-    return members, similar_representatives(heads, key)
-
-
-def all_pairs(members: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """(a, b), a < b: every pair of rows, with copies put back.  Classes of one row, nearly all, pass through unexpanded joins."""
-    m = members.select(F.col(key).alias("row"), "rep")
-    left = pairs.select("a", "b").join(m.toDF("row_a", "a"), "a").join(m.toDF("row_b", "b"), "b").select("row_a", "row_b")
-    many = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
-    copies = m.join(many.select("rep"), "rep", "left_semi").select("row", "rep")
-    within = sliced(copies.toDF("row_a", "rep"), copies.toDF("row_b", "rep"), ["rep"], "row_a").where("row_a < row_b").select("row_a", "row_b")
-    both = left.unionByName(within)
+    texts = df.where(F.col(key).isNotNull())
+    signed = durable(signatures(texts, key, title, body))
+    reps = durable(signed.groupBy("id").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
+    met = durable(meetings(reps))
+    name = reps.select("id", "rep")
+    named = met.join(name.toDF("a", "rep_a"), "a").join(name.toDF("b", "rep_b"), "b").select("rep_a", "rep_b")
+    concerned = named.select(F.explode(F.array("rep_a", "rep_b")).alias(key)).distinct()
+    sets = shingle_sets(texts.join(concerned, key, "left_semi"), key, title, body)
+    both = named.join(sets.toDF("rep_a", "sh_a"), "rep_a").join(sets.toDF("rep_b", "sh_b"), "rep_b")
+    pairs = both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), jaccard(F.col("sh_a"), F.col("sh_b")).alias("similarity"))
+    members = signed.select("key", "id").join(reps.select("id", "rep", "copies"), "id")
+    return members, pairs.where(F.col("similarity") >= threshold)
+
+
+def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of rows, with copies put back."""
+    many = members.where("copies > 1").select(F.col("key").alias("row"), "rep", "copies")
+    within = sliced(many.toDF("row_a", "rep", "n"), many.toDF("row_b", "rep", "n"), ["rep"], "row_a", "n").where("row_a < row_b").select("row_a", "row_b")
+    # representatives without copies need no second look
+    of = many.select("row", "rep")
+    left = pairs.select("a", "b").join(of.toDF("row_a", "a"), "a", "left").select(F.coalesce("row_a", "a").alias("row_a"), "b")
+    across = left.join(of.toDF("row_b", "b"), "b", "left").select("row_a", F.coalesce("row_b", "b").alias("row_b"))
+    both = across.unionByName(within)
     return both.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))

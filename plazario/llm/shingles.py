@@ -60,19 +60,23 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that the rolling hash looks back over, and the bits that must be zero at a boundary.
-WINDOW, MASK_BITS = 12, 5
+WINDOW, MASK_BITS = 12, 6
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * _A)
 
 
-def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and length in bytes of each content-defined chunk.
+#: Low bits of a chunk's value that hold its length.
+LENGTH_BITS = 12
+
+
+def chunks(text: bytes) -> np.ndarray:
+    """Distinct content-defined chunks: the hash of each, its length (up to 2**LENGTH_BITS - 1) in the low bits.
 
     A boundary falls where the rolling hash of the last WINDOW bytes has MASK_BITS zero bits, so an edit moves only the boundaries within
-    its own window and all other chunks keep their hashes.
+    its own window and all other chunks keep their values.
     """
     b = np.frombuffer(text, np.uint8)
     if not len(b):
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
+        return np.empty(0, np.uint64)
     g = _GEAR[b]
     rolled = g.copy()
     for k in range(1, min(WINDOW, len(b))):
@@ -82,4 +86,5 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         cut = np.r_[cut, len(b)]
     start = np.r_[0, cut[:-1]]
     hashes = np.array([xxhash.xxh3_64_intdigest(text[i:j]) for i, j in zip(start.tolist(), cut.tolist(), strict=True)], np.uint64)
-    return hashes, (cut - start).astype(np.int32)
+    most = np.uint64((1 << LENGTH_BITS) - 1)
+    return np.unique((hashes & ~most) | np.minimum((cut - start).astype(np.uint64), most))
