@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plazario.common import durable, table
-from plazario.llm import history, mixing, near, plain, tokens
+from plazario.llm import history, mixing, names, near, places, plain, residue, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.known_again(table(spark, sf_dir, "new_batches", *columns), table(spark, sf_dir, "postings", *columns), *columns)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = table(spark, sf_dir, "postings", "job_id", "company_name_raw")
+    linked = names.variants(postings, "company_name_raw", table(spark, sf_dir, "deny_entries"), table(spark, sf_dir, "allow_entries"))
+    return linked.select("entry_id", "job_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.found(table(spark, sf_dir, "postings", "job_id", "location_raw"), table(spark, sf_dir, "places"), "job_id", "location_raw")
+
+
+def p4_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting with a place as typed, the entry it means and its bucket; unmatched values keep place 0 and no bucket."""
+    read = places.mapped(table(spark, sf_dir, "postings", "job_id", "location_raw"), table(spark, sf_dir, "places"), "job_id", "location_raw")
+    entries = F.broadcast(table(spark, sf_dir, "places", "place_id", "place_name", "location_bucket"))  # as many rows as the reference list, checked above
+    return read.where("place_id is not null").join(entries, "place_id", "left").select(F.col("key").alias("job_id"), "place_id", "place_name", "location_bucket")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pairs = near.near_duplicates(table(spark, sf_dir, "postings", "job_id", "title_raw", "description_text"), "job_id", "title_raw", "description_text")
     return near.all_pairs(members, pairs).toDF("job_id_a", "job_id_b")
@@ -27,6 +44,15 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("key").alias("job_id"), F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_residue(spark, sf_dir).where("residue is not null").select("job_id")
+
+
+def p5_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting with the kind of residue in its description, null for a real one."""
+    return residue.labelled(table(spark, sf_dir, "postings", "job_id", "description_text"), "job_id", "description_text")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "postings", "job_id", "title_raw", "company_name_raw")
     return plain.not_plain(rows, "job_id", ["title_raw", "company_name_raw"]).select("job_id", "field_name")
@@ -58,7 +84,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p3_found, p3_classes, p7_found, p7_plain, p8_ids, p9_mixture, p9_shares]
+    own = [p1_found, p2_found, p3_found, p3_classes, p4_found, p4_buckets, p5_found, p5_residue, p7_found, p7_plain, p8_ids, p9_mixture, p9_shares]
     return {f.__name__: f for f in own}
 
 

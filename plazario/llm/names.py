@@ -16,7 +16,7 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,9 @@ from plazario.llm.plain import plain
 from plazario.llm.shingles import mix
 
 #: Length of the q-grams and rows of a band.
-Q, ROWS = 2, 2
+Q, ROWS = 2, 3
 #: The collision curve is tuned so that tokens of this similarity meet with this probability.
-LEAST_SIMILARITY, RECALL = 1 / 3, 0.995
+LEAST_SIMILARITY, RECALL = 0.36, 0.99
 #: Listed and other companies together; they are broadcast.
 MOST_COMPANIES = 50_000
 #: Least similarity of a token and its partner, and of a name and its centre.
@@ -45,7 +45,9 @@ ADDED = set(
     "espana spain es europe europa emea iberia iberica madrid barcelona valencia sevilla bilbao oficina oficinas office norte sur este oeste centro sede delegacion "
     "global international internacional portugal france francia latam uk branch sucursal north south east west hq group grupo the".split()
 )
-_SPLIT = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
+#: Abbreviations that do not follow from the word.
+USUAL = {"xp": "experience", "ux": "experience", "it": "informatica", "rrhh": "humanos", "hr": "humanos"}
+_SPLIT = regex.compile(r"(?<=\p{Ll}{2})(?=\p{Lu}\p{Ll}{2})")
 _RUNS = regex.compile(r"[\p{L}\p{N}]+")
 _MARKS = regex.compile(r"\p{M}+")
 
@@ -92,6 +94,8 @@ def band_keys(token: str) -> np.ndarray:
 
 def abbreviates(short: str, full: str) -> bool:
     """Whether ``short`` stands for ``full``: its beginning, its beginning and a plural s, its initial doubled, or its consonants in order."""
+    if USUAL.get(short) == full:
+        return True
     if len(short) >= len(full) or short[0] != full[0]:
         return False
     if full.startswith(short) or len(short) > 2 and short[-1] == "s" and full.startswith(short[:-1]) or len(short) == 2 and short[0] == short[1]:
@@ -100,27 +104,40 @@ def abbreviates(short: str, full: str) -> bool:
     return len(short) <= 5 and not set(short[1:]) & set("aeiou") - set(short[-1]) and all(c in rest for c in short)
 
 
-@cache
+def few_edits(a: str, b: str, most: int) -> int:
+    """Edit distance of two tokens, or ``most`` + 1 when it is larger: letters that one has and the other lacks are counted first."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    extra = sum(max(0, a.count(c) - b.count(c)) for c in set(a))
+    if max(extra, extra + len(b) - len(a)) > most:
+        return most + 1
+    return edit_distance(a, b)
+
+
+@lru_cache(1 << 18)
 def token_similarity(a: str, b: str) -> float:
     """1 for equal tokens, 0.9 for an abbreviation, else 1 - edits / length where the edits are few for the length."""
     if a == b:
         return 1.0
+    if len(a) > 3 and a[-1] == "s" and a[:-1] == b or len(b) > 3 and b[-1] == "s" and b[:-1] == a:
+        return 0.95
     if abbreviates(a, b):
         return 0.9
     n = max(len(a), len(b))
-    d = edit_distance(a, b) if abs(len(a) - len(b)) <= 2 else 9
-    return 1 - d / n if d <= (0 if n < 5 else 1 if n < 8 else 2) else 0.0
+    most = 0 if n < 5 else 1 if n < 8 else 2
+    d = few_edits(a, b, most)
+    return 1 - d / n if d <= most else 0.0
 
 
+@lru_cache(1 << 18)
 def head_similarity(a: str, b: str) -> float:
     """Similarity of a token and a head: misspelt, never abbreviated."""
     if a == b:
         return 1.0
     n = max(len(a), len(b))
-    if n < 5 or abs(len(a) - len(b)) > 2:
-        return 0.0
-    d = edit_distance(a, b)
-    return 1 - d / n if d <= (1 if n < 7 else 2) else 0.0
+    most = 0 if n < 5 else 1 if n < 7 else 2
+    d = few_edits(a, b, most)
+    return 1 - d / n if d <= most else 0.0
 
 
 class Companies:
@@ -150,15 +167,21 @@ class Companies:
                 for k in band_keys(word).view(np.int64).tolist():
                     yield k, n
 
+    def _glued(self, whole: str, number: int) -> float:
+        """Score of a name written as one word, or with blanks in other places."""
+        if len(whole) < 8:
+            return 0.0
+        s = max(token_similarity(whole, "".join(f)) for f in self.forms[number])
+        return 0.98 * s if s >= 0.88 else 0.0
+
     def score(self, name: list[str], number: int) -> float:
         """Monge-Elkan score of a name's tokens against a company, 0 if no head is in the name or a token has no partner."""
         own = [w for w in name if w not in LEGAL]
         whole = "".join(own)
-        glued = max((token_similarity(whole, "".join(f)) for f in self.forms[number]), default=0.0) if len(whole) >= 8 else 0.0
         pool, heads = self.pool[number], self.heads[number]
         best_head, at = max(((head_similarity(w, h), i) for i, w in enumerate(own) for h in heads), default=(0.0, 0))
         if best_head < LEAST_TOKEN:
-            return 0.98 * glued if glued >= 0.88 else 0.0
+            return self._glued(whole, number)
         parts, plainly = [best_head], True
         for i, w in enumerate(own):
             if i == at:
@@ -167,7 +190,7 @@ class Companies:
             if s < LEAST_TOKEN:
                 if w in ADDED:
                     continue
-                return 0.98 * glued if glued >= 0.88 else 0.0
+                return self._glued(whole, number)
             plainly = False
             parts.append(s)
         # a head alone tells only if it is no other company's

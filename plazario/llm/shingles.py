@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -10,19 +11,26 @@ import xxhash
 
 #: Words of a shingle.
 WORDS = 3
+_LATIN_MARKS = re.compile("[\u0300-\u036f]+")
+#: After decomposition, anything but ASCII, Latin accents and general punctuation: such texts take the general way.
+_OTHER = re.compile("[^\x00-\x7f\xa0-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u0300-\u036f\u2010-\u2027\u2030-\u205e]")
 _MARKS = regex.compile(r"\p{M}+")
 _RUNS = regex.compile(r"[\p{L}\p{N}]+")
+_LETTERS = bytes(c if chr(c).isalnum() else 32 for c in bytes(range(128)).lower()) + b" " * 128
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def words(text: str | None) -> list[str]:
-    """Runs of letters and digits, without case and accents."""
+def words(text: str | None) -> list[bytes]:
+    """Runs of letters and digits, without case and accents, in UTF-8."""
     if not text:
         return []
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    return _RUNS.findall(text.lower())
+        text = unicodedata.normalize("NFKD", text)
+        if _OTHER.search(text):
+            return [w.encode() for w in _RUNS.findall(_MARKS.sub("", text).lower())]
+        text = _LATIN_MARKS.sub("", text)
+    return text.encode("ascii", "replace").translate(_LETTERS).split()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,59 +40,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hasher:
+class Hasher(dict):
     """64-bit hashes of words, remembered within a worker (speed only)."""
 
-    def __init__(self, most: int = 1 << 20):
-        self.memory: dict[str, int] = {}
-        self.most = most
+    MOST = 1 << 20
 
-    def __call__(self, ws: list[str]) -> np.ndarray:
-        memory = self.memory
-        if len(memory) > self.most:
-            memory.clear()
-        out = np.empty(len(ws), np.uint64)
-        for i, w in enumerate(ws):
-            h = memory.get(w)
-            if h is None:
-                h = memory[w] = xxhash.xxh3_64_intdigest(w)
-            out[i] = h
-        return out
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.MOST:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def __call__(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of WORDS consecutive words (none if there are fewer words)."""
     if len(hashes) < WORDS:
         return np.empty(0, np.uint64)
-    return np.unique(mix(hashes[:-2] * _A + mix(hashes[1:-1] * _B + mix(hashes[2:] * _C))))
-
-
-#: Bytes that the rolling hash looks back over, and the bits that must be zero at a boundary.
-WINDOW, MASK_BITS = 12, 6
-_GEAR = mix(np.arange(1, 257, dtype=np.uint64) * _A)
+    runs = np.sort(mix(hashes[:-2] * _A + hashes[1:-1] * _B + hashes[2:] * _C))
+    return runs[np.r_[True, runs[1:] != runs[:-1]]]
 
 
-#: Low bits of a chunk's value that hold its length.
-LENGTH_BITS = 12
+#: Words that the rolling hash looks back over, the bits that must be zero at a boundary, and the low bits of a chunk's value that hold its length.
+WINDOW, MASK_BITS, LENGTH_BITS = 2, 3, 12
+_LAST, _MOST = np.uint64((1 << MASK_BITS) - 1), np.uint64((1 << LENGTH_BITS) - 1)
 
 
-def chunks(text: bytes) -> np.ndarray:
-    """Distinct content-defined chunks: the hash of each, its length (up to 2**LENGTH_BITS - 1) in the low bits.
+def chunks(ws: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """Distinct content-defined chunks of a text's words: the hash of each, its length in bytes (up to 2**LENGTH_BITS - 1) in the low bits.
 
-    A boundary falls where the rolling hash of the last WINDOW bytes has MASK_BITS zero bits, so an edit moves only the boundaries within
-    its own window and all other chunks keep their values.
+    A boundary falls after a word where the rolling hash of the last WINDOW words has MASK_BITS zero bits, so an edit moves only the boundaries
+    within its own window and all other chunks keep their values.
     """
-    b = np.frombuffer(text, np.uint8)
-    if not len(b):
+    if not len(hashes):
         return np.empty(0, np.uint64)
-    g = _GEAR[b]
-    rolled = g.copy()
-    for k in range(1, min(WINDOW, len(b))):
-        rolled[k:] += g[:-k] << np.uint64(k)
-    cut = np.flatnonzero((rolled >> np.uint64(WINDOW)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
-    if not len(cut) or cut[-1] != len(b):
-        cut = np.r_[cut, len(b)]
-    start = np.r_[0, cut[:-1]]
-    hashes = np.array([xxhash.xxh3_64_intdigest(text[i:j]) for i, j in zip(start.tolist(), cut.tolist(), strict=True)], np.uint64)
-    most = np.uint64((1 << LENGTH_BITS) - 1)
-    return np.unique((hashes & ~most) | np.minimum((cut - start).astype(np.uint64), most))
+    before = np.r_[np.zeros(1, np.uint64), hashes[:-1]]
+    rolled = mix(hashes * _A + before * _B)
+    start = np.flatnonzero(np.r_[True, rolled[:-1] & _LAST == 0])
+    # order within a chunk counts: a chunk is the sum of its word pairs and its first word
+    inner = rolled.copy()
+    inner[start] = mix(hashes[start] * _C)
+    value = mix(np.add.reduceat(inner, start))
+    size = np.add.reduceat(np.fromiter(map(len, ws), np.uint64, len(ws)) + np.uint64(1), start)
+    return np.unique((value & ~_MOST) | np.minimum(size, _MOST))
