@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plazario.common import durable, table
-from plazario.llm import history, mixing, names, near, places, plain, residue, tokens
+from plazario.llm import history, mixing, names, near, pii, places, plain, residue, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(durable(mixing.mix(durable(_sized(spark, sf_dir)), targets)), targets)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return pii.items(docs, "doc_id", "text", "lang", table(spark, sf_dir, "person_names")).select("doc_id", "kind", "start_at")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return pii.redacted(docs, "doc_id", "text", "lang", table(spark, sf_dir, "person_names"))
+
+
 def queries() -> dict:
-    own = [p1_found, p2_found, p3_found, p3_classes, p4_found, p4_buckets, p5_found, p5_residue, p7_found, p7_plain, p8_ids, p9_mixture, p9_shares]
+    own = [p1_found, p2_found, p3_found, p3_classes, p4_found, p4_buckets, p5_found, p5_residue, p7_found, p7_plain, p8_ids, p9_mixture, p9_shares, p10_found, p10_redacted]
     return {f.__name__: f for f in own}
 
 

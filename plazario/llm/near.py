@@ -36,6 +36,8 @@ LEAST_WORDS = 40
 THRESHOLD = 0.5
 #: Lists are sized on every SAMPLE-th text; only how they are sliced depends on it.
 SAMPLE = 64
+#: Places of long lists that may be broadcast (16 bytes each); more are joined.
+MOST_HOT = 1 << 20
 
 _SEEDS = S.mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64))
 _TIMES, _PLUS = (_SEEDS[:POSITIONS] | np.uint64(1))[:, None], _SEEDS[POSITIONS:][:, None]
@@ -150,13 +152,14 @@ def meetings(reps: DataFrame) -> DataFrame:
     hot = entries(reps.where(F.pmod("id", F.lit(SAMPLE)) == 0)).groupBy("place").agg((F.count("*") * SAMPLE).alias("rows")).where(F.col("rows") >= least * SAMPLE)
     hot = durable(hot)
     columns, left, right = ("id", "part1", "part2"), ("a", "a1", "a2"), ("b", "b1", "b2")
-    if hot.isEmpty():
-        met = index.alias("l").join(index.alias("r"), F.col("l.place") == F.col("r.place"))
-        met = met.select(*[F.col(f"l.{c}").alias(a) for c, a in zip(columns, left, strict=True)], *[F.col(f"r.{c}").alias(b) for c, b in zip(columns, right, strict=True)])
-    else:
-        rows = F.coalesce("rows", F.lit(1)).alias("rows")
-        sized = index.join(hot, "place", "left").select("place", *columns, rows)
-        met = sliced(sized.toDF("place", *left, "rows"), sized.toDF("place", *right, "rows"), ["place"], "a", "rows")
+    # few lists are long; they are told apart by a broadcast of their places if these are few, so that the others move once
+    few = hot.count() <= MOST_HOT
+    places = F.broadcast(hot) if few else hot
+    usual = index.join(places.select("place"), "place", "left_anti")
+    met = usual.alias("l").join(usual.alias("r"), F.col("l.place") == F.col("r.place"))
+    met = met.select(*[F.col(f"l.{c}").alias(x) for c, x in zip(columns, left, strict=True)], *[F.col(f"r.{c}").alias(x) for c, x in zip(columns, right, strict=True)])
+    long = index.join(places, "place").select("place", *columns, "rows")
+    met = met.unionByName(sliced(long.toDF("place", *left, "rows"), long.toDF("place", *right, "rows"), ["place"], "a", "rows").drop("place"))
     part = equal_bytes(F.col("a1"), F.col("b1")) + equal_bytes(F.col("a2"), F.col("b2"))
     pairs = met.where((F.col("a") < F.col("b")) & (part >= LEAST_PART)).select("a", "b").distinct()
     full = reps.select("id", "signature")

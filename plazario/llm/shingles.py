@@ -63,22 +63,22 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return runs[np.r_[True, runs[1:] != runs[:-1]]]
 
 
-#: Words that the rolling hash looks back over, the bits that must be zero at a boundary, and the low bits of a chunk's value that hold its length.
-WINDOW, MASK_BITS, LENGTH_BITS = 2, 3, 12
-_LAST, _MOST = np.uint64((1 << MASK_BITS) - 1), np.uint64((1 << LENGTH_BITS) - 1)
+#: Words that the rolling hash looks back over, words of a chunk on average, and the low bits of a chunk's value that hold its length.
+WINDOW, CHUNK_WORDS, LENGTH_BITS = 2, 8, 12
+_EVERY, _MOST = np.uint64(CHUNK_WORDS), np.uint64((1 << LENGTH_BITS) - 1)
 
 
 def chunks(ws: list[bytes], hashes: np.ndarray) -> np.ndarray:
     """Distinct content-defined chunks of a text's words: the hash of each, its length in bytes (up to 2**LENGTH_BITS - 1) in the low bits.
 
-    A boundary falls after a word where the rolling hash of the last WINDOW words has MASK_BITS zero bits, so an edit moves only the boundaries
+    A boundary falls after a word where the rolling hash of the last WINDOW words is a multiple of CHUNK_WORDS, so an edit moves only the boundaries
     within its own window and all other chunks keep their values.
     """
     if not len(hashes):
         return np.empty(0, np.uint64)
     before = np.r_[np.zeros(1, np.uint64), hashes[:-1]]
     rolled = mix(hashes * _A + before * _B)
-    start = np.flatnonzero(np.r_[True, rolled[:-1] & _LAST == 0])
+    start = np.flatnonzero(np.r_[True, rolled[:-1] % _EVERY == 0])
     # order within a chunk counts: a chunk is the sum of its word pairs and its first word
     inner = rolled.copy()
     inner[start] = mix(hashes[start] * _C)
