@@ -33,9 +33,9 @@ from plazario.llm.shingles import mix
 #: Length of the q-grams and rows of a band.
 Q, ROWS = 2, 3
 #: The collision curve is tuned so that tokens of this similarity meet with this probability.
-LEAST_SIMILARITY, RECALL = 0.36, 0.99
+LEAST_SIMILARITY, RECALL = 0.4, 0.99
 #: Listed and other companies together; they are broadcast.
-MOST_COMPANIES = 50_000
+MOST_COMPANIES = 20_000
 #: Least similarity of a token and its partner, and of a name and its centre.
 LEAST_TOKEN, LEAST_SCORE = 0.7, 0.74
 
@@ -201,6 +201,39 @@ class Companies:
         return sum(parts) / len(parts) - 0.02 * (1 - covered)
 
 
+class Bands:
+    """The companies' bands as sorted arrays, and the names' way through them."""
+
+    MOST_TOKENS = 1 << 16
+
+    def __init__(self, companies: Companies):
+        self.companies = companies
+        pairs = sorted(set(companies.keys()))
+        self.keys = np.array([k for k, _ in pairs], np.int64)
+        self.numbers = np.array([n for _, n in pairs], np.int64)
+        self.memory: dict[str, frozenset[int]] = {}
+
+    def met(self, token: str) -> frozenset[int]:
+        """Companies that share a band with a token; remembered for frequent tokens."""
+        hit = self.memory.get(token)
+        if hit is None:
+            if len(self.memory) >= self.MOST_TOKENS:
+                self.memory.clear()
+            keys = band_keys(token).view(np.int64)
+            lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+            hit = self.memory[token] = frozenset(int(x) for i, j in zip(lo, hi, strict=True) if i < j for x in self.numbers[i:j])
+        return hit
+
+    def centre(self, name: str) -> tuple[int, float] | None:
+        """(entry, score) of the listed company whose star a name joins; None if there is none, or another company is as near."""
+        own = tokens(name)
+        words = [w for w in own if w not in LEGAL]
+        met = {c for w in {*(w for w in words if len(w) > 2), "".join(words)} if w for c in self.met(w)}
+        scores = [(s, c < 0, -c, c) for c in met if (s := self.companies.score(own, c)) >= LEAST_SCORE]
+        best = max(scores, default=None)
+        return (best[3], best[0]) if best and best[3] >= 0 else None
+
+
 def _companies(listed: DataFrame, others: DataFrame | None) -> list[tuple]:
     rows = [tuple(r) for r in bounded(listed.select("entry_id", "name", "aliases").where("entry_id is not null"), MOST_COMPANIES, "listed companies")]
     if others is not None:
@@ -211,34 +244,18 @@ def _companies(listed: DataFrame, others: DataFrame | None) -> list[tuple]:
 
 def stars(names: DataFrame, listed: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """(name, entry_id, score): each name of ``names`` (one column, distinct) with the listed company whose star it belongs to."""
-    spark = names.sparkSession
-    rows = _companies(listed, others)
-    companies = Companies(rows)
-    index = spark.createDataFrame(list(companies.keys()) or [(0, 0)], "key bigint, company int").where(F.lit(bool(rows))).distinct()
-    shared = spark.sparkContext.broadcast(rows)
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_of = cache(lambda w: band_keys(w).view(np.int64).tolist())
-        for b in batches:
-            keys = []
-            for name in b.column(0).to_pylist():
-                own = [w for w in tokens(name) if w not in LEGAL]
-                keys.append(sorted({k for w in {*(w for w in own if len(w) > 2), "".join(own)} if w for k in keys_of(w)}))
-            if keys_of.cache_info().currsize > 1 << 16:
-                keys_of.cache_clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["name", "keys"])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Companies(shared.value)
+    shared = names.sparkSession.sparkContext.broadcast(_companies(listed, others))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Bands(Companies(shared.value))
         for b in batches:
-            scores = [known.score(tokens(n), c) for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], ["name", "company", "score"])
-
-    met = names.toDF("name").mapInArrow(banded, "name string, keys array<bigint>").select("name", F.explode("keys").alias("key")).join(index, "key").select("name", "company").distinct()
-    scored = met.mapInArrow(verified, "name string, company int, score double").where(F.col("score") >= LEAST_SCORE)
-    # the best centre of each name; at equal scores a company that is not listed comes first, so that doubt links to nothing
-    best = scored.groupBy("name").agg(F.max_by("company", F.struct("score", F.when(F.col("company") < 0, 1).otherwise(0), -F.col("company"))).alias("entry_id"), F.max("score").alias("score"))
-    return best.where(F.col("entry_id") >= 0)
+            found = [index.centre(n) for n in b.column(0).to_pylist()]
+            kept = [i for i, f in enumerate(found) if f]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(kept, pa.int32())), pa.array([found[i][0] for i in kept], pa.int32()), pa.array([found[i][1] for i in kept], pa.float64())], ["name", "entry_id", "score"]
+            )
+
+    return names.toDF("name").mapInArrow(run, "name string, entry_id int, score double")
 
 
 def variants(df: DataFrame, name: str, listed: DataFrame, others: DataFrame | None = None) -> DataFrame:
