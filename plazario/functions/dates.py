@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plazario.functions.text import col, folded
+from plazario.functions.text import col
 
 #: Unit (es, en) to days and confidence.
 UNITS = {
@@ -18,24 +18,24 @@ JUST_NOW = r"\b(justo ahora|ahora mismo|just now|hoy|today|new|nuevo)\b"
 UNKNOWN = 0.5
 
 
-def relative_days(text: Column | str) -> Column:
-    """Days before today that a text like "hace 2 semanas" means: the middle of the span for weeks and longer, half to even; null if unknown."""
-    t = folded(text)
+def _of_unit(unit: Column, values: dict[str, float]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), unit)
+
+
+def relative_days(t: Column | str) -> Column:
+    """Days before today that a folded text like "hace 2 semanas" means: the middle of the span for weeks and longer, half to even; null if unknown."""
+    t = col(t)
     amount, unit = F.regexp_extract(t, RELATIVE, 1), F.regexp_extract(t, RELATIVE, 2)
-    days = F.lit(None).cast("double")
-    for name, (each, _) in UNITS.items():
-        span = F.try_to_number(amount, F.lit("999999")).cast("double") * each + (each / 2 if each >= 7 else 0)
-        days = F.when(unit == name, F.bround(span, 0)).otherwise(days)
-    return F.when(t.rlike(JUST_NOW), F.lit(0.0)).otherwise(days).cast("int")
+    each = _of_unit(unit, {u: d for u, (d, _) in UNITS.items()})
+    span = amount.try_cast("double") * each + F.when(each >= 7, each / 2).otherwise(0.0)
+    return F.when(t.rlike(JUST_NOW), F.lit(0.0)).otherwise(F.bround(span, 0)).cast("int")
 
 
-def relative_confidence(text: Column | str) -> Column:
-    t = folded(text)
-    unit = F.regexp_extract(t, RELATIVE, 2)
-    out = F.lit(UNKNOWN)
-    for name, (_, sure) in UNITS.items():
-        out = F.when(unit == name, F.lit(sure)).otherwise(out)
-    return F.coalesce(F.when(t.rlike(JUST_NOW), F.lit(1.0)).otherwise(out), F.lit(UNKNOWN))
+def relative_confidence(t: Column | str) -> Column:
+    """How sure the date of a folded text is."""
+    t = col(t)
+    sure = _of_unit(F.regexp_extract(t, RELATIVE, 2), {u: c for u, (_, c) in UNITS.items()})
+    return F.when(t.rlike(JUST_NOW), F.lit(1.0)).otherwise(F.coalesce(sure, F.lit(UNKNOWN)))
 
 
 def iso_date(text: Column | str) -> Column:
@@ -44,7 +44,7 @@ def iso_date(text: Column | str) -> Column:
 
 
 def posted(text: Column | str, iso: Column | str, today: Column) -> tuple[Column, Column]:
-    """(date, confidence): a valid ISO date is certain, else the relative text decides."""
+    """(date, confidence): a valid ISO date is certain, else the folded relative text decides."""
     exact, days = iso_date(iso), relative_days(text)
     return F.coalesce(exact, F.date_sub(today, days)), F.when(exact.isNotNull(), F.lit(1.0)).otherwise(relative_confidence(text))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plazario.common import blank_to_null
-from plazario.functions.text import basic_norm, col, company_norm, title_core
+from plazario.functions.text import basic_norm, col, company_norm, folded, title_core
 from plazario.functions.urls import company_slug
 
 MADRID, REMOTE_ES, REST_ES, OUTSIDE_ES, UNKNOWN = "MADRID", "REMOTE_ES", "REST_ES", "OUTSIDE_ES", "UNKNOWN"
@@ -65,6 +65,6 @@ def bind(raw, today: Column):
     """Raw records as postings: one projection, everything derived from the record itself."""
     from plazario.functions.dates import posted
 
-    date, sure = posted("posted_text", "posted_iso", today)
-    keyed = raw.withColumns({"company_key": company_key("company_url", "company"), "location_bucket": location_bucket("location", "workplace_type"), "posted_at": date, "posted_confidence": sure})
+    date, sure = posted("posted_folded", "posted_iso", today)
+    keyed = raw.withColumn("posted_folded", folded("posted_text")).withColumns({"company_key": company_key("company_url", "company"), "location_bucket": location_bucket("location", "workplace_type"), "posted_at": date, "posted_confidence": sure})
     return keyed.withColumns({"dedupe_key": dedupe_key("company_key", "title", "location_bucket"), "slug": company_slug("company_url"), "title_known": blank_to_null("title").isNotNull()})

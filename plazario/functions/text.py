@@ -8,8 +8,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Blocks whose compatibility decompositions are folded: Latin, Latin additional, letter-like, number forms, ligatures, full width.
-FOLDED_BLOCKS = ((0x80, 0x250), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2474), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+#: Blocks whose compatibility decompositions are folded: Latin, Latin additional, Roman numerals, ligatures, full width.
+FOLDED_BLOCKS = ((0x80, 0x250), (0x1E00, 0x1F00), (0x2160, 0x2180), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
 
 #: Noise of job titles (gender marks, work mode, city, contract).
 TITLE_NOISE = [

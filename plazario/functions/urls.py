@@ -29,7 +29,7 @@ def job_url(base: str, job_id: Column | str) -> Column:
 
 def valid_slug(slug: Column | str) -> Column:
     """The slug in lower case without slashes at its ends, null if it cannot be one."""
-    s = F.lower(F.trim(F.lit("/"), F.trim(F.coalesce(col(slug), F.lit("")))))
+    s = F.lower(F.trim(F.trim(F.coalesce(col(slug), F.lit(""))), F.lit("/")))
     return F.when(s.rlike(SLUG), s)
 
 
@@ -48,7 +48,7 @@ def url_key(url: Column | str) -> Column:
 
 def favicon_url(base: str, domain: Column | str) -> Column:
     """Icon address of a domain, null for a blank one."""
-    d = F.ltrim(F.lit("@"), F.trim(col(domain)))
+    d = F.ltrim(F.trim(col(domain)), F.lit("@"))
     return F.when(d != "", F.concat(F.lit(base), d))
 
 

@@ -149,7 +149,10 @@ def facet_filter(df: DataFrame, chosen: dict[str, list[str]], most_days: int | N
 
 def facet_counts(df: DataFrame, facets: list[str]) -> DataFrame:
     """(facet, value, n) of several array columns in one pass."""
-    pairs = F.flatten(F.array(*[F.transform(F.array_distinct(c), lambda v, c=c: F.struct(F.lit(c).alias("facet"), v.alias("value"))) for c in facets]))
+    def of(facet: str) -> Column:
+        return F.transform(F.array_distinct(facet), lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+
+    pairs = F.flatten(F.array(*map(of, facets)))
     return df.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plazario.plans import delivery_queries
+from plazario.plans import delivery_queries, posting_queries
 
-_MODULES = [delivery_queries]
+_MODULES = [delivery_queries, posting_queries]
 
 
 def queries() -> dict:
