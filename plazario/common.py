@@ -39,6 +39,15 @@ def bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
+#: Rows of a narrow table (some tens of bytes each) that may be broadcast.
+MOST_BROADCAST = 1_000_000
+
+
+def broadcast_if_small(cut: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``cut``, a durable narrow table, marked for broadcast if it has at most ``most`` rows; otherwise joins shuffle."""
+    return F.broadcast(cut) if cut.count() <= most else cut
+
+
 def partitions(spark: SparkSession) -> int:
     """Reduce-side parallelism of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
