@@ -6,7 +6,7 @@ lists texts by position and content; as a single byte has 256 values and its lis
 run of RUN neighbouring positions, and carries PART further bytes of the signature.  Texts of one list are paired, the shared positional
 bytes of a pair are tallied, first over the part, then over the whole signature, and pairs below the minimum that the threshold guarantees are
 dropped.  What is left is verified on the shingles themselves, so no wrong pair comes out.
-Chance of a pair to be found: 0.994 at J = 0.65, 0.9993 at 0.7, above 0.99999 at 0.8.
+Chance of a pair to be found: 0.995 at J = 0.65, 0.9994 at 0.7, above 0.99999 at 0.8.
 
 Copies (equal shingles) are one representative through all of this and are put back at the end; long lists are sliced.
 """
@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plazario.common import durable, partitions, spread
+from plazario.common import broadcast_if_small, durable, partitions, spread
 from plazario.llm import shingles as S
 from plazario.operators.pairing import SLICE, sliced
 
-RUNS, RUN, PART = 28, 4, 16
+RUNS, RUN, PART = 28, 4, 8
 POSITIONS = RUNS * RUN
-#: Least agreeing bytes of the part, where J >= 0.65 gives 10.4 on average and J = 0.2 gives 3.2; and of the signature, where J = 1/2 gives 56, standard deviation 5.3.
-LEAST_PART, LEAST_BYTES = 8, 42
+#: Least agreeing bytes of the part, where J = 0.65 gives 5.2 on average and J = 0.2 gives 1.6; and of the signature, where J = 1/2 gives 56, standard deviation 5.3.
+LEAST_PART, LEAST_BYTES = 3, 42
 #: Bytes of the short form of a signature, and how many must agree: J = 1/2 gives 16, standard deviation 2.8.
 SKETCH, LEAST_SKETCH = 32, 9
 #: Words that a description needs.
@@ -36,8 +36,6 @@ LEAST_WORDS = 40
 THRESHOLD = 0.5
 #: Lists are sized on every SAMPLE-th text; only how they are sliced depends on it.
 SAMPLE = 64
-#: Places of long lists that may be broadcast (16 bytes each); more are joined.
-MOST_HOT = 1 << 20
 
 _SEEDS = S.mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64))
 _TIMES, _PLUS = (_SEEDS[:POSITIONS] | np.uint64(1))[:, None], _SEEDS[POSITIONS:][:, None]
@@ -127,7 +125,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def entries(reps: DataFrame) -> DataFrame:
-    """The index of (id, signature): one row (place, id, part1, part2) for each run; ``place`` is the run's number and bytes."""
+    """The index of (id, signature): one row (place, id, part) for each run; ``place`` is the run's number and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(RUNS, dtype=np.int64) << 32
@@ -136,12 +134,11 @@ def entries(reps: DataFrame) -> DataFrame:
                 b = whole.slice(at, 1024)
                 sig = b.column(1).flatten().to_numpy().reshape(-1, POSITIONS // 8)
                 place = number + sig.view(np.uint32).astype(np.int64)
-                # the part: the two words after the one that holds the run, around the end
-                word = np.arange(RUNS) * RUN // 8
-                parts = [sig[:, (word + k) % (POSITIONS // 8)] for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (place, np.repeat(b.column(0).to_numpy(), RUNS), *parts)], ["place", "id", "part1", "part2"])
+                # the part: the word after the one that holds the run, around the end
+                part = sig[:, (np.arange(RUNS) * RUN // 8 + 1) % (POSITIONS // 8)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (place, np.repeat(b.column(0).to_numpy(), RUNS), part)], ["place", "id", "part"])
 
-    return reps.select("id", "signature").mapInArrow(run, "place bigint, id bigint, part1 bigint, part2 bigint")
+    return reps.select("id", "signature").mapInArrow(run, "place bigint, id bigint, part bigint")
 
 
 def meetings(reps: DataFrame) -> DataFrame:
@@ -151,17 +148,16 @@ def meetings(reps: DataFrame) -> DataFrame:
     least = max(2, SLICE // SAMPLE)
     hot = entries(reps.where(F.pmod("id", F.lit(SAMPLE)) == 0)).groupBy("place").agg((F.count("*") * SAMPLE).alias("rows")).where(F.col("rows") >= least * SAMPLE)
     hot = durable(hot)
-    columns, left, right = ("id", "part1", "part2"), ("a", "a1", "a2"), ("b", "b1", "b2")
+    columns, left, right = ("id", "part"), ("a", "part_a"), ("b", "part_b")
     # few lists are long; they are told apart by a broadcast of their places if these are few, so that the others move once
-    few = hot.count() <= MOST_HOT
-    places = F.broadcast(hot) if few else hot
+    places = broadcast_if_small(hot)
     usual = index.join(places.select("place"), "place", "left_anti")
     met = usual.alias("l").join(usual.alias("r"), F.col("l.place") == F.col("r.place"))
     met = met.select(*[F.col(f"l.{c}").alias(x) for c, x in zip(columns, left, strict=True)], *[F.col(f"r.{c}").alias(x) for c, x in zip(columns, right, strict=True)])
     long = index.join(places, "place").select("place", *columns, "rows")
     met = met.unionByName(sliced(long.toDF("place", *left, "rows"), long.toDF("place", *right, "rows"), ["place"], "a", "rows").drop("place"))
-    part = equal_bytes(F.col("a1"), F.col("b1")) + equal_bytes(F.col("a2"), F.col("b2"))
-    pairs = met.where((F.col("a") < F.col("b")) & (part >= LEAST_PART)).select("a", "b").distinct()
+    near = met.where((F.col("a") < F.col("b")) & (equal_bytes(F.col("part_a"), F.col("part_b")) >= LEAST_PART))
+    pairs = broadcast_if_small(durable(near.select("a", "b").distinct()))
     full = reps.select("id", "signature")
     both = pairs.join(full.toDF("a", "sig_a"), "a").join(full.toDF("b", "sig_b"), "b")
     return both.where(tally(F.col("sig_a"), F.col("sig_b")) >= LEAST_BYTES).select("a", "b")
@@ -175,21 +171,24 @@ def near_duplicates(df: DataFrame, key: str, title: str, body: str, threshold: f
     """
     texts = df.where(F.col(key).isNotNull())
     signed = durable(signatures(texts, key, title, body))
-    reps = durable(signed.groupBy("id").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
-    met = durable(meetings(reps))
+    # texts with copies are few as a rule: only they are looked up, the others stay where they are
+    copied = broadcast_if_small(durable(signed.groupBy("id").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).where("copies > 1")))
+    members = signed.select("key", "id").join(copied, "id", "left").select("key", "id", F.coalesce("rep", "key").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    later = copied.select(F.col("id").alias("of"), "rep")
+    reps = signed.join(later, F.col("id") == F.col("of"), "left").where("of is null or key = rep").select("id", F.col("key").alias("rep"), "signature")
+    met = broadcast_if_small(durable(meetings(reps)))
     name = reps.select("id", "rep")
-    named = met.join(name.toDF("a", "rep_a"), "a").join(name.toDF("b", "rep_b"), "b").select("rep_a", "rep_b")
-    concerned = named.select(F.explode(F.array("rep_a", "rep_b")).alias(key)).distinct()
+    named = durable(met.join(name.toDF("a", "rep_a"), "a").join(name.toDF("b", "rep_b"), "b").select("rep_a", "rep_b").distinct())
+    concerned = broadcast_if_small(durable(named.select(F.explode(F.array("rep_a", "rep_b")).alias(key)).distinct()))
     sets = shingle_sets(texts.join(concerned, key, "left_semi"), key, title, body)
     both = named.join(sets.toDF("rep_a", "sh_a"), "rep_a").join(sets.toDF("rep_b", "sh_b"), "rep_b")
     pairs = both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), jaccard(F.col("sh_a"), F.col("sh_b")).alias("similarity"))
-    members = signed.select("key", "id").join(reps.select("id", "rep", "copies"), "id")
     return members, pairs.where(F.col("similarity") >= threshold)
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b), a < b: every pair of rows, with copies put back."""
-    many = members.where("copies > 1").select(F.col("key").alias("row"), "rep", "copies")
+    many = durable(members.where("copies > 1").select(F.col("key").alias("row"), "rep", "copies"))
     within = sliced(many.toDF("row_a", "rep", "n"), many.toDF("row_b", "rep", "n"), ["rep"], "row_a", "n").where("row_a < row_b").select("row_a", "row_b")
     # representatives without copies need no second look
     of = many.select("row", "rep")
