@@ -15,9 +15,13 @@ def arrivals(spark: SparkSession, folder: str, schema, files_a_trigger: int = 10
 
 
 def once(stream: DataFrame, key: str = "job_id", time: str = "fetched_at", late: str = "30 days") -> DataFrame:
-    """The first arrival of each identifier within the watermark; rows without time count as the beginning of time and are let through by identifier."""
-    timed = stream.withColumn(time, F.coalesce(F.col(time).cast("timestamp"), F.lit("1970-01-01").cast("timestamp")))
-    return timed.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    """The first arrival of each identifier within the watermark.
+
+    Rows without time cannot be late: they are held against each other for as long as the stream runs.
+    """
+    timed = stream.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    timeless = stream.where(F.col(time).isNull()).withColumn(time, F.col(time).cast("timestamp")).dropDuplicates([key])
+    return timed.unionByName(timeless)
 
 
 def per_window(stream: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
