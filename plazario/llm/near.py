@@ -6,7 +6,7 @@ lists texts by position and content; as a single byte has 256 values and its lis
 run of RUN neighbouring positions, and carries PART further bytes of the signature.  Texts of one list are paired, the shared positional
 bytes of a pair are tallied, first over the part, then over the whole signature, and pairs below the minimum that the threshold guarantees are
 dropped.  What is left is verified on the shingles themselves, so no wrong pair comes out.
-Chance of a pair to be found: 0.995 at J = 0.65, 0.9994 at 0.7, above 0.99999 at 0.8.
+Chance of a pair to be found: 0.993 at J = 0.65, 0.999 at 0.7, above 0.99999 at 0.8.
 
 Copies (equal shingles) are one representative through all of this and are put back at the end; long lists are sliced.
 """
@@ -25,10 +25,10 @@ from plazario.common import broadcast_if_small, durable, partitions, spread
 from plazario.llm import shingles as S
 from plazario.operators.pairing import SLICE, sliced
 
-RUNS, RUN, PART = 28, 4, 8
+RUNS, RUN, PART = 26, 4, 8
 POSITIONS = RUNS * RUN
-#: Least agreeing bytes of the part, where J = 0.65 gives 5.2 on average and J = 0.2 gives 1.6; and of the signature, where J = 1/2 gives 56, standard deviation 5.3.
-LEAST_PART, LEAST_BYTES = 3, 42
+#: Least agreeing bytes of the part, where J = 0.65 gives 5.2 on average and J = 0.2 gives 1.6; and of the signature, where J = 1/2 gives 52, standard deviation 5.1.
+LEAST_PART, LEAST_BYTES = 3, 38
 #: Bytes of the short form of a signature, and how many must agree: J = 1/2 gives 16, standard deviation 2.8.
 SKETCH, LEAST_SKETCH = 32, 9
 #: Words that a description needs.
