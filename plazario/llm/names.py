@@ -157,8 +157,8 @@ class Companies:
         self.head_users = Counter(h for hs in self.heads.values() for h in hs)
 
     def head(self, form: list[str]) -> str:
-        """The telling token of a name: the one fewest companies use, the longest of these."""
-        return min(form, key=lambda w: (self.users[w], -len(w)))
+        """The telling token of a name: the one fewest companies use, the longest of these; no word of place or group if there is another."""
+        return min([w for w in form if w not in ADDED] or form, key=lambda w: (self.users[w], -len(w)))
 
     def keys(self) -> Iterator[tuple[int, int]]:
         """(band key, company) of every head and every form written as one word."""
