@@ -40,22 +40,26 @@ SAMPLE = 64
 _SEEDS = S.mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64))
 _TIMES, _PLUS = (_SEEDS[:POSITIONS] | np.uint64(1))[:, None], _SEEDS[POSITIONS:][:, None]
 _SLAB = 2048
+_NONE, _SPREAD = np.iinfo(np.uint64).max, np.uint64(0x9E3779B97F4A7C15)
+
+
+def _smallest_bytes(sh: np.ndarray, positions: int) -> np.ndarray:
+    """One byte of the smallest value of each of the first ``positions`` hash functions, in 64-bit words; in slabs of bounded memory."""
+    least = (sh[:_SLAB][None, :] * _TIMES[:positions] + _PLUS[:positions]).min(axis=1, initial=_NONE)
+    for i in range(_SLAB, len(sh), _SLAB):
+        least = np.minimum(least, (sh[i : i + _SLAB][None, :] * _TIMES[:positions] + _PLUS[:positions]).min(axis=1))
+    # the smallest value is small: its low bits are brought up before the top byte is taken
+    return ((least * _SPREAD) >> np.uint64(56)).astype(np.uint8).view(np.int64)
 
 
 def signature(sh: np.ndarray) -> np.ndarray:
-    """POSITIONS bytes in 64-bit words; of any number of shingles, in slabs of bounded memory."""
-    least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(sh), _SLAB):
-        least = np.minimum(least, (sh[i : i + _SLAB][None, :] * _TIMES + _PLUS).min(axis=1))
-    return (S.mix(least) >> np.uint64(56)).astype(np.uint8).view(np.int64)
+    """POSITIONS bytes of any number of shingles."""
+    return _smallest_bytes(sh, POSITIONS)
 
 
 def sketch(sh: np.ndarray) -> np.ndarray:
     """The first SKETCH bytes of a signature."""
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(sh), _SLAB):
-        least = np.minimum(least, (sh[i : i + _SLAB][None, :] * _TIMES[:SKETCH] + _PLUS[:SKETCH]).min(axis=1))
-    return (S.mix(least) >> np.uint64(56)).astype(np.uint8).view(np.int64)
+    return _smallest_bytes(sh, SKETCH)
 
 
 def _texts(title: pa.Array, body: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -90,7 +94,10 @@ def signatures(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
-    """(key, shingles) of the rows of ``df``, whose bodies are long enough."""
+    """(key, shingles) of the rows of ``df``, whose bodies are long enough; the upper 32 bits of each shingle.
+
+    Two of a pair's shingles agree by chance with probability 5e-6, by which the share moves less than a hundredth.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = S.Hasher()
@@ -98,11 +105,11 @@ def shingle_sets(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
             rows, sets = [], []
             for i, ws in _texts(b.column(1), b.column(2)):
                 rows.append(i)
-                sets.append(S.shingles(hasher(ws)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+                sets.append(np.unique((S.shingles(hasher(ws)) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(sets, pa.list_(pa.int32()))], ["key", "shingles"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(title), F.col(body)).mapInArrow(run, f"key {kind}, shingles array<bigint>")
+    return df.select(F.col(key), F.col(title), F.col(body)).mapInArrow(run, f"key {kind}, shingles array<int>")
 
 
 def equal_bytes(a: Column, b: Column) -> Column:
@@ -163,6 +170,14 @@ def meetings(reps: DataFrame) -> DataFrame:
     return both.where(tally(F.col("sig_a"), F.col("sig_b")) >= LEAST_BYTES).select("a", "b")
 
 
+def shared_shingles(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the similarity of the sets of ``a`` and ``b``; the sets are made and moved once for both sides."""
+    kept = sets.repartition(partitions(pairs.sparkSession), "key")
+    one = pairs.join(kept.alias("s"), F.col(a) == F.col("s.key")).select(*pairs.columns, F.col("s.shingles").alias("sh_a"))
+    both = one.join(kept.alias("t"), F.col(b) == F.col("t.key")).select(*pairs.columns, "sh_a", F.col("t.shingles").alias("sh_b"))
+    return both.select(*pairs.columns, jaccard(F.col("sh_a"), F.col("sh_b")).alias("similarity"))
+
+
 def near_duplicates(df: DataFrame, key: str, title: str, body: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Members (key, id, rep, copies) of classes of equal texts, and pairs (a, b, similarity) of representatives that share ``threshold`` of their shingles.
 
@@ -181,8 +196,7 @@ def near_duplicates(df: DataFrame, key: str, title: str, body: str, threshold: f
     named = durable(met.join(name.toDF("a", "rep_a"), "a").join(name.toDF("b", "rep_b"), "b").select("rep_a", "rep_b").distinct())
     concerned = broadcast_if_small(durable(named.select(F.explode(F.array("rep_a", "rep_b")).alias(key)).distinct()))
     sets = shingle_sets(texts.join(concerned, key, "left_semi"), key, title, body)
-    both = named.join(sets.toDF("rep_a", "sh_a"), "rep_a").join(sets.toDF("rep_b", "sh_b"), "rep_b")
-    pairs = both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), jaccard(F.col("sh_a"), F.col("sh_b")).alias("similarity"))
+    pairs = shared_shingles(named, sets, "rep_a", "rep_b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "similarity")
     return members, pairs.where(F.col("similarity") >= threshold)
 
 

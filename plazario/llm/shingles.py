@@ -40,6 +40,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The low bits of a word's hash hold its length in bytes, up to this.
+LONGEST = 63
+
+
 class Hasher(dict):
     """64-bit hashes of words, remembered within a worker (speed only)."""
 
@@ -48,40 +52,51 @@ class Hasher(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.MOST:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word) & ~LONGEST | min(len(word), LONGEST)
         return h
 
     def __call__(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats."""
+    first = np.empty(len(ordered), bool)
+    first[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return ordered[first]
+
+
 def shingles(hashes: np.ndarray) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of WORDS consecutive words (none if there are fewer words)."""
     if len(hashes) < WORDS:
         return np.empty(0, np.uint64)
     runs = np.sort(mix(hashes[:-2] * _A + hashes[1:-1] * _B + hashes[2:] * _C))
-    return runs[np.r_[True, runs[1:] != runs[:-1]]]
+    return _distinct(runs)
 
 
-#: Words that the rolling hash looks back over, words of a chunk on average, and the low bits of a chunk's value that hold its length.
+#: Words that the rolling hash looks back over, words of a chunk on average (a power of two), and the low bits of a chunk's value that hold its length.
 WINDOW, CHUNK_WORDS, LENGTH_BITS = 2, 8, 12
-_EVERY, _MOST = np.uint64(CHUNK_WORDS), np.uint64((1 << LENGTH_BITS) - 1)
+_EVERY, _MOST = np.uint64(CHUNK_WORDS - 1), np.uint64((1 << LENGTH_BITS) - 1)
+_ONE, _HIGH, _LENGTHS = np.uint64(1), np.uint64(32), np.uint64(LONGEST)
 
 
-def chunks(ws: list[bytes], hashes: np.ndarray) -> np.ndarray:
+def chunks(hashes: np.ndarray) -> np.ndarray:
     """Distinct content-defined chunks of a text's words: the hash of each, its length in bytes (up to 2**LENGTH_BITS - 1) in the low bits.
 
-    A boundary falls after a word where the rolling hash of the last WINDOW words is a multiple of CHUNK_WORDS, so an edit moves only the boundaries
+    A boundary falls after a word where the rolling hash of the last WINDOW words is 0 modulo CHUNK_WORDS, so an edit moves only the boundaries
     within its own window and all other chunks keep their values.
     """
-    if not len(hashes):
+    n = len(hashes)
+    if not n:
         return np.empty(0, np.uint64)
-    before = np.r_[np.zeros(1, np.uint64), hashes[:-1]]
-    rolled = mix(hashes * _A + before * _B)
-    start = np.flatnonzero(np.r_[True, rolled[:-1] % _EVERY == 0])
-    # order within a chunk counts: a chunk is the sum of its word pairs and its first word
-    inner = rolled.copy()
-    inner[start] = mix(hashes[start] * _C)
-    value = mix(np.add.reduceat(inner, start))
-    size = np.add.reduceat(np.fromiter(map(len, ws), np.uint64, len(ws)) + np.uint64(1), start)
-    return np.unique((value & ~_MOST) | np.minimum(size, _MOST))
+    rolled = hashes.copy()
+    rolled[1:] *= hashes[:-1] | _ONE
+    cut = np.flatnonzero((rolled[:-1] >> _HIGH) & _EVERY == 0) + 1
+    start = np.empty(len(cut) + 1, np.int64)
+    start[0], start[1:] = 0, cut
+    # the order of words counts: a chunk is the sum of its word pairs and its first word
+    size = np.add.reduceat((hashes & _LENGTHS) + _ONE, start)
+    rolled[start] = hashes[start] * _C
+    value = mix(np.add.reduceat(rolled, start))
+    return _distinct(np.sort((value & ~_MOST) | np.minimum(size, _MOST)))
