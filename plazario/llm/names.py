@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plazario.common import bounded
+from plazario.common import bounded, partitions
 from plazario.llm.edits import edit_distance
 from plazario.llm.plain import plain
 from plazario.llm.shingles import mix
@@ -255,7 +255,9 @@ def stars(names: DataFrame, listed: DataFrame, others: DataFrame | None = None)
                 [b.column(0).take(pa.array(kept, pa.int32())), pa.array([found[i][0] for i in kept], pa.int32()), pa.array([found[i][1] for i in kept], pa.float64())], ["name", "entry_id", "score"]
             )
 
-    return names.toDF("name").mapInArrow(run, "name string, entry_id int, score double")
+    # few bytes but much work: adaptive planning would put them into one task
+    spread = names.toDF("name").repartition(max(partitions(names.sparkSession), names.sparkSession.sparkContext.defaultParallelism))
+    return spread.mapInArrow(run, "name string, entry_id int, score double")
 
 
 def variants(df: DataFrame, name: str, listed: DataFrame, others: DataFrame | None = None) -> DataFrame:
