@@ -5,7 +5,7 @@ retrieve exemplars, rarest term first, and each retrieved exemplar is scored by
 Weights come from the document frequencies of the exemplars' terms over all texts.  Syntax of templates ({{x}}, %x%, [[x]], runs of underscores) is one
 term each, so a placeholder is an exemplar of one term.
 
-A text is residue if a placeholder or a dummy phrase is contained in some window, if a window consists of filler vocabulary, or if contained
+A text is residue if a placeholder or a dummy phrase is contained in some window, if a few words in a row, wherever they begin, are mostly filler vocabulary, or if contained
 messages (errors, notices) cover most of its words; a description that merely speaks of such things has other words around them.  Null, empty and
 blank texts are not residue; texts of any length are read whole, window by window.
 """
@@ -61,8 +61,8 @@ WINDOW, STEP = 24, 8
 #: Containment at which an exemplar counts, by label; and the part of a text's words that messages must cover.
 CONTAINED = {"placeholder": 0.99, "dummy": 0.99, "message": 0.8, "scripts": 0.75, "furniture": 0.99}
 COVERED = 0.6
-#: A window of so many words of which this part is filler vocabulary is filler.
-FILLER_WORDS, FILLER_PART = 6, 0.75
+#: Of so many words in a row, at any place, how many of filler vocabulary are filler; and the part in texts of fewer words.
+FILLER_WORDS, LEAST_FILLER, FILLER_PART = 6, 4, 0.75
 
 _NAME = r"[A-Za-z_][\w.]*"
 #: Template syntax, longest forms first; each is one term.
@@ -103,6 +103,15 @@ def exemplar_terms() -> list[tuple[str, list[str]]]:
     return own + [(label, terms(x.replace("todo:", "TODO:"))) for label, xs in EXEMPLARS.items() for x in xs]
 
 
+def has_filler(words: list[str]) -> bool:
+    """Whether some FILLER_WORDS words in a row, wherever they begin, hold LEAST_FILLER of filler vocabulary."""
+    if len(words) < FILLER_WORDS:
+        n = sum(w in FILLER for w in words)
+        return n > 2 and n >= FILLER_PART * len(words)
+    at = [i for i, w in enumerate(words) if w in FILLER]
+    return any(b - a < FILLER_WORDS for a, b in zip(at, at[LEAST_FILLER - 1 :], strict=False))
+
+
 class Index:
     """Inverted index of the exemplars, with the weight of every term."""
 
@@ -132,7 +141,7 @@ class Index:
     def may_hold(self, text: str) -> bool:
         """Whether a text has any term that could retrieve an exemplar: cheap, and never false for residue."""
         words = set(_WORDS.findall(text.lower().translate(_PLAIN_LETTERS) if text.isascii() is False else text.lower()))
-        return not words.isdisjoint(self.telling) or len(words & FILLER) > 2 or _ANY_SYNTAX.search(text) is not None or not text.isascii() and _RARE_MARK.search(text) is not None
+        return not words.isdisjoint(self.telling) or not words.isdisjoint(FILLER) or _ANY_SYNTAX.search(text) is not None or not text.isascii() and _RARE_MARK.search(text) is not None
 
     def contained(self, window: list[str]) -> list[int]:
         """Exemplars that the window contains."""
@@ -151,14 +160,13 @@ class Index:
         ts = terms(text) if text and self.may_hold(text) else []
         if not ts:
             return None
+        if has_filler([t for t in ts if t[0].isalpha()]):
+            return "filler"
         telling = [any(t in self.lists for t in ts[i : i + STEP]) for i in range(0, len(ts), STEP)]
         covered: set[int] = set()
         messages = False
         for n, i in enumerate(range(0, len(ts), STEP)):
             window = ts[i : i + WINDOW]
-            words = [w for w in ts[i : i + STEP] if w[0].isalpha()]
-            if len(words) >= min(FILLER_WORDS, len(ts)) and sum(w in FILLER for w in words) >= FILLER_PART * len(words) and sum(w in FILLER for w in words) > 2:
-                return "filler"
             if not any(telling[n : n + WINDOW // STEP]):
                 continue
             for e in self.contained(window):

@@ -125,6 +125,14 @@ def test_residue(text, label):
     assert index().label(text) == label
 
 
+@pytest.mark.parametrize("filler", ["lorem ipsum dolor sit amet consectetur adipiscing elit", "Lorem ipsum dolor sit amet", "lorem ipsum lorem ipsum"])
+def test_filler_at_every_offset(filler):
+    real = "Trabajarás en el proyecto junto a personas de ingeniería y datos para mejorar cada semana nuestro producto digital".split()
+    for i in range(len(real) + 1):
+        assert index().label(" ".join([*real[:i], filler, *real[i:]])) == "filler"
+    assert index().label(" ".join(real)) is None
+
+
 def test_residue_deep_in_a_long_text():
     body = "Trabajarás en el proyecto junto a personas de ingeniería y datos. " * 300
     assert index().label(body + " ${ciudad} " + body) == "placeholder"
