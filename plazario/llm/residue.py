@@ -5,7 +5,7 @@ retrieve exemplars, rarest term first, and each retrieved exemplar is scored by
 Weights come from the document frequencies of the exemplars' terms over all texts.  Syntax of templates ({{x}}, %x%, [[x]], runs of underscores) is one
 term each, so a placeholder is an exemplar of one term.
 
-A text is residue if a placeholder or a dummy phrase is contained in some window, if a few words in a row, wherever they begin, are mostly filler vocabulary, or if contained
+A text is residue if a placeholder is contained in some window, if a dummy phrase is a line or sentence of its own, if a few words in a row, wherever they begin, are mostly filler vocabulary, or if contained
 messages (errors, notices) cover most of its words; a description that merely speaks of such things has other words around them.  Null, empty and
 blank texts are not residue; texts of any length are read whole, window by window.
 """
@@ -58,6 +58,8 @@ FILLER = set(
     "adora cursim elata ferratis funditus graviter hortensa lumen morbita nomine ocultis pede pradum quibum sebrata silvantur tincta vastor velorum pellentesque vestibulum curabitur maecenas vivamus fusce nulla mauris".split()
 )
 WINDOW, STEP = 24, 8
+#: Dummy phrases that also leave a single field open; alone on a line of a description they say nothing of the description.
+FIELD_VALUES = {"tbd", "n/a", "por definir"}
 #: Containment at which an exemplar counts, by label; and the part of a text's words that messages must cover.
 CONTAINED = {"placeholder": 0.99, "dummy": 0.99, "message": 0.8, "scripts": 0.75, "furniture": 0.99}
 COVERED = 0.6
@@ -76,6 +78,8 @@ _SYNTAX = [
 _TERM = regex.compile("|".join([*(f"(?P<s{i}>{p})" for i, (_, p) in enumerate(_SYNTAX)), r"(?P<word>\p{N}+|[\p{L}\p{M}]+)", r"(?P<mark>[\[<(](?=\p{L}))", r"(?P<colon>(?<=TODO):)"]))
 _ANY_SYNTAX = regex.compile("|".join(p for _, p in _SYNTAX))
 _WORDS = re.compile(r"[a-z]+")
+#: Ends of lines and sentences.
+_PIECES = re.compile(r"[\r\n]+|(?<=[.!?;…])\s+|\s[–—•·|-]\s")
 #: Folds the accents of the languages at hand; other marked letters and combining marks send a text to the full reading.
 _PLAIN_LETTERS = {c: unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.decomposition(chr(c))}
 _RARE_MARK = regex.compile(r"[\p{M}\u0250-\u2000\u2100-\uFFFF]")
@@ -112,6 +116,10 @@ def has_filler(words: list[str]) -> bool:
     return any(b - a < FILLER_WORDS for a, b in zip(at, at[LEAST_FILLER - 1 :], strict=False))
 
 
+_MARKS_BEFORE = frozenset("[<(")
+_FIELD_TERMS = [terms(x) for x in sorted(FIELD_VALUES)]
+
+
 class Index:
     """Inverted index of the exemplars, with the weight of every term."""
 
@@ -174,7 +182,9 @@ class Index:
                 if label == "placeholder" and self._adjacent(window, e):
                     return "placeholder"
                 if label == "dummy" and self._adjacent(window, e):
-                    # a dummy phrase inside a description is one only if it stands apart
+                    # a dummy phrase inside a description is one only if it stands apart; a field's value counts with the messages
+                    if self.exemplars[e][1] not in _FIELD_TERMS and self._apart(text, e):
+                        return "message"
                     covered |= {i + k for k, t in enumerate(window) if t in self.counts[e]}
                     messages = True
                 elif label in ("message", "scripts", "furniture"):
@@ -185,6 +195,11 @@ class Index:
         told = [t for k, t in enumerate(ts) if k in covered]
         return "message" if messages and len(told) >= COVERED * (len(told) + len(rest)) else None
 
+    def _apart(self, text: str, e: int) -> bool:
+        """Whether the exemplar is a line or a sentence of its own."""
+        want = self.exemplars[e][1]
+        return any([t for t in terms(x) if t not in _MARKS_BEFORE] == want for x in _PIECES.split(text))
+
     def _adjacent(self, window: list[str], e: int) -> bool:
         """Whether the exemplar's terms stand together and in order."""
         want = self.exemplars[e][1]

@@ -133,6 +133,15 @@ def test_filler_at_every_offset(filler):
     assert index().label(" ".join(real)) is None
 
 
+def test_dummy_phrase_stands_apart():
+    real = "Trabajarás en el proyecto junto a personas de ingeniería y datos. Buscamos a alguien con ganas de aprender. "
+    for phrase in ("Descripción pendiente de redactar", "Aquí va la descripción del puesto", "Texto de prueba", "To be completed by HR", "TODO: pegar texto definitivo", "(Texto pendiente)"):
+        for text in (f"{real * 5}\n{phrase}", f"{phrase}.\n{real * 5}", f"{real * 3}{phrase}. {real * 9}"):
+            assert index().label(text) == "message", text
+    for text in (real + "Revisarás cada texto de prueba con el equipo.", real + "Salario: por definir.", real + "\nSalario:\nPor definir\n" + real):
+        assert index().label(text) is None, text
+
+
 def test_residue_deep_in_a_long_text():
     body = "Trabajarás en el proyecto junto a personas de ingeniería y datos. " * 300
     assert index().label(body + " ${ciudad} " + body) == "placeholder"
