@@ -55,6 +55,17 @@ def test_places(value, place):
     assert places.Gazetteer(PLACES).read(value)[0] == place
 
 
+def test_pairs_at_the_threshold_meet(spark):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(300):
+        x = rng.integers(0, 1 << 63, 160, dtype=np.uint64)
+        for k, sh in enumerate((x[:120], x[40:])):
+            # 80 of 160 shingles in both: J = 1/2
+            rows.append((2 * i + k, near.signature(sh).tolist()))
+    met = {(r["a"], r["b"]) for r in near.meetings(spark.createDataFrame(rows, "id bigint, signature array<bigint>")).collect()}
+    assert len(met & {(2 * i, 2 * i + 1) for i in range(300)}) >= 290
+
+
 def test_places_sharded_equals_one_tree(spark):
     ref = spark.createDataFrame(PLACES, PLACE_SCHEMA)
     df = spark.createDataFrame([(1, "Mdrid"), (2, "Getafe"), (3, None), (4, ""), (5, "nowhere"), (6, "Mdrid")], "job_id int, v string")
