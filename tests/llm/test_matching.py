@@ -66,6 +66,16 @@ def test_pairs_at_the_threshold_meet(spark):
     assert len(met & {(2 * i, 2 * i + 1) for i in range(300)}) >= 290
 
 
+def test_records_that_share_only_a_frequent_chunk_meet(spark):
+    chunk = lambda k: (k << S.LENGTH_BITS) + 10
+    same, other = [7, 7, 7, 7], [[k, k, k, k] for k in (-1, 1 << 40, 3 << 33)]
+    # ranks 0 and 1 share chunk 9, which five records have; each shares its three rarer chunks with one other record
+    rows = [(0, 100, 40, [chunk(k) for k in (1, 2, 3, 9)], same), (1, 101, 40, [chunk(k) for k in (4, 5, 6, 9)], same)]
+    rows += [(-1 - i, 102 + i, 40, [chunk(k) for k in ks], other[i]) for i, ks in enumerate([(1, 2, 3, 9), (4, 5, 6, 9), (9, 10)])]
+    heads = spark.createDataFrame(rows, history.CHUNK_TABLE)
+    assert (1, 0) in {(r["rank"], r["earlier"]) for r in history.candidates(heads).collect()}
+
+
 def test_places_sharded_equals_one_tree(spark):
     ref = spark.createDataFrame(PLACES, PLACE_SCHEMA)
     df = spark.createDataFrame([(1, "Mdrid"), (2, "Getafe"), (3, None), (4, ""), (5, "nowhere"), (6, "Mdrid")], "job_id int, v string")
