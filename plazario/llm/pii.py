@@ -6,7 +6,8 @@ segments that do not overlap.  The weights maximise the conditional likelihood o
 over the same segments); training takes a moment on the driver and the weights, some hundred numbers, are broadcast.
 
 Names of persons need to know names.  A given list is only a beginning: the lexicon grows by counting, over all texts, the capitalised words that stand
-beside known names with several different partners and are not also written in lower case.  It holds at most MOST_NAMES words.
+beside known names with several different partners and are not also written in lower case.  It grows until no word is added; a round that
+would add more than MOST_NAMES is refused.
 
 Defined results: null, empty and blank texts have no items; texts of any length are read whole; repeated items come out once for every place.
 """
@@ -23,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plazario.common import bounded, spread
+from plazario.common import bounded, durable, spread
 from plazario.llm.pii_examples import EXAMPLES
 
 KINDS = ("email", "phone", "ident", "address", "name")
-#: Words of the grown name lexicon, and partners and share of capitals that a word needs.
+#: Words that a round may add to the name lexicon, and partners and share of capitals that a word needs.
 MOST_NAMES, LEAST_PARTNERS, LEAST_CAPITAL = 50_000, 2, 0.9
 #: Rows that a list of names may have.
 MOST_LISTED = 200_000
@@ -183,12 +184,23 @@ class Model:
                     if commas > 1:
                         continue
                     roles = [r for _, _, r, _ in run[i : j + 1]]
-                    if not any("s" in r for r in roles) or not any("g" in r or r == "I" for r in roles):
-                        continue
                     s, e = run[i][0], run[j][1]
+                    if not any("s" in r for r in roles) or not any("g" in r or r == "I" for r in roles):
+                        if commas or not self._half_known(text, run, i, j, roles):
+                            continue
                     out[s, e, "name"] = Segment(s, e, "name", self._name_features(text, run, i, j, roles, inner, commas, lang))
         return out
 
+    def _half_known(self, text, run, i, j, roles) -> bool:
+        """Whether one known word is enough: a given name before unknown ones after a title or cue, a surname after an unknown one after a title."""
+        left = _around(text, run[i][0], run[j][1])[0]
+        titled = bool(left) and left[-1].rstrip(".") in TITLES_FOLDED
+        if any(r == "?" and _SMALL.fullmatch(text[s:e]) for s, e, r, _ in run[i : j + 1]):
+            return False
+        if set(roles[1:]) == {"?"} and "g" in roles[0]:
+            return titled or not set(left[-2:]).isdisjoint(_CUE_FOLDED["name"])
+        return titled and j == i + 1 and roles[0] == "?" and "s" in roles[1]
+
     def _name_features(self, text, run, i, j, roles, inner, commas, lang) -> list[str]:
         s, e = run[i][0], run[j][1]
         left, right = _around(text, s, e)
@@ -198,6 +210,7 @@ class Model:
         good = regex.fullmatch(r"[gI]{1,2}s{1,2}|s{1,2},[gI]{1,2}|sg", pattern) is not None
         f = ["name", "name good" if good else "name odd", "name initial" if "I" in order else "name full", f"name words {len(roles)}"]
         f += ["name unknown"] if "?" in roles else []
+        f += ["name half known"] if not any("s" in r for r in roles) or not any("g" in r or r == "I" for r in roles) else []
         f += ["name particle"] if any(_PARTICLE.fullmatch(g) for g in inner) else []
         f += ["name comma"] if commas else []
         f += ["name title"] if left and left[-1].rstrip(".") in TITLES_FOLDED else ["name cue"] if set(left[-2:]) & _CUE_FOLDED["name"] else []
@@ -291,6 +304,8 @@ def _unmark(line: str) -> tuple[str, list[tuple[int, int, str]]]:
     return text + line[at:], gold
 
 
+#: Particles, also in capitals, which are no names.
+_SMALL = regex.compile(r"(?i:d[aeo]s?|del|du|des|l[ao]s?|les?|el|von|van|der|den|y|e)")
 _DIGIT = regex.compile(r"\d")
 _ATSIGN = regex.compile(r"@|[\[({<]\s*(?:at|arroba|a)\s*[\])}>]|\s(?:arroba|at)\s", regex.I)
 _CUE_FOLDED = {k: {fold(w) for w in v} for k, v in _CUE.items()}
@@ -327,11 +342,22 @@ def _partners(text: str, names: dict[str, str]) -> Iterator[tuple[str, str, str]
                     yield part, role, other
 
 
-def lexicon(df: DataFrame, text: str, names: DataFrame, rounds: int = 2) -> dict[str, str]:
-    """Folded words of person names with their roles: the list, grown from all texts of ``df``."""
+def lexicon(df: DataFrame, text: str, names: DataFrame) -> dict[str, str]:
+    """Folded words of person names with their roles: the list, grown from all texts of ``df`` until nothing is added."""
     known = _listed(names)
     source = spread(df.select(F.col(text)).where(F.col(text).isNotNull()))
-    for _ in range(rounds):
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[str, list[int]] = {}
+            for t in b.column(0).to_pylist():
+                for w in _WRITTEN.findall(t):
+                    seen.setdefault(fold(w), [0, 0])[w[0].islower()] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1)]], ["word", "capital", "lower"])
+
+    written = source.mapInArrow(count, "word string, capital bigint, lower bigint").groupBy("word").agg(F.sum("capital").alias("c"), F.sum("lower").alias("l"))
+    capital = durable(written.where(F.col("c") >= LEAST_CAPITAL * (F.col("c") + F.col("l"))).select("word"))
+    while True:
         shared = df.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -343,24 +369,12 @@ def lexicon(df: DataFrame, text: str, names: DataFrame, rounds: int = 2) -> dict
         met = source.mapInArrow(run, "word string, role string, partner string").groupBy("word", "role").agg(F.count_distinct("partner").alias("n")).where(F.col("n") >= LEAST_PARTNERS)
         # a word of two roles has the one with more partners
         new = {}
-        for r in met.orderBy(F.desc("n"), "word", "role").limit(MOST_NAMES).collect():
-            new.setdefault(r["word"], r["role"])
-        asked = df.sparkSession.sparkContext.broadcast(frozenset(new))
-
-        def count(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            want = asked.value
-            for b in batches:
-                seen: dict[str, list[int]] = {}
-                for t in b.column(0).to_pylist():
-                    for w in _WRITTEN.findall(t):
-                        if (k := fold(w)) in want:
-                            seen.setdefault(k, [0, 0])[w[0].islower()] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1)]], ["word", "capital", "lower"])
-
-        written = source.mapInArrow(count, "word string, capital bigint, lower bigint").groupBy("word").agg(F.sum("capital").alias("c"), F.sum("lower").alias("l"))
-        good = {r["word"] for r in written.where(F.col("c") >= LEAST_CAPITAL * (F.col("c") + F.col("l"))).collect()} if new else set()
-        known = known | {w: r for w, r in new.items() if w in good}
-    return known
+        for r in sorted(bounded(met.join(capital, "word").select("word", "role", "n"), MOST_NAMES, "names in texts"), key=lambda r: (-r["n"], r["word"], r["role"])):
+            if r["word"] not in known:  # part of a double name
+                new.setdefault(r["word"], r["role"])
+        if not new:
+            return known
+        known = known | new
 
 
 def trained(names: dict[str, str]) -> dict[str, float]:

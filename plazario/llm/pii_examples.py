@@ -1,6 +1,10 @@
 """Marked training sentences of the personal-information model: {kind|span}.  All content is invented."""
 
 EXAMPLES = """
+Te atenderá Dña. {name|Ana Tobarrela} el lunes.
+Kind regards,\\n{name|Emma Stroudwick}
+Un saludo,\\n{name|Luis Zaldumbide Ferrán}
+Herr {name|Udo Wessenrath} erwartet dich. Ms {name|Claire Hathersedge} will meet you.
 Llámame al {phone|+34 600 11 22 33} o escribe a {email|ana.perez@buzon.test}.
 Mi móvil es {phone|(+34) 611.22.33.44}; saludos, {name|Ana Robledo}
 Dudas: {phone|699112233}, pregunta por {name|Luis Cantero Mora}.

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from plazario.common import TooManyRows
 from plazario.llm import history, names, near, pii, places
 from plazario.llm import shingles as S
 from plazario.llm.edits import BKTree, edit_distance
@@ -211,3 +212,21 @@ def test_items(spark):
     got = {(r["doc_id"], r["kind"], r["start_at"]) for r in pii.items(df, "doc_id", "text", "lang", listed).collect()}
     assert (1, "name", 11) in got and (4, "name", 40000) in got and not any(d in (2, 3) for d, _, _ in got)
     assert pii.items(df.where("false"), "doc_id", "text", "lang", listed).count() == 0
+
+
+def test_lexicon_grows_to_its_end_and_never_drops_silently(spark, monkeypatch):
+    pairs = ["Ana Zedo", "Eva Zedo", "Ana Yorra", "Eva Yorra", "Ivo Zedo", "Ivo Yorra", "Ugo Zedo", "Ugo Yorra", "Ivo Wixel", "Ugo Wixel"]
+    df = spark.createDataFrame([(f"Hoy viene {x} aquí.",) for x in pairs], "text string")
+    listed = spark.createDataFrame([("Ana", "given"), ("Eva", "given")], "name string, kind string")
+    got = pii.lexicon(df, "text", listed)
+    assert got["zedo"] == got["yorra"] == got["wixel"] == "s" and got["ivo"] == got["ugo"] == "g"
+    monkeypatch.setattr(pii, "MOST_NAMES", 1)
+    with pytest.raises(TooManyRows):
+        pii.lexicon(df, "text", listed)
+
+
+def test_unknown_word_beside_a_title_or_cue():
+    m = model()
+    for text, name in (("Pregunta por Dña. Ana Olazagutia en recepción.", "Ana Olazagutia"), ("Kind regards,\nEmma Brackenthorpe", "Emma Brackenthorpe"), ("Frau Wendelgard Lindner kommt.", "Wendelgard Lindner")):
+        assert [text[x.start : x.end] for x in m.best(text) if x.kind == "name"] == [name], text
+    assert not m.best("Buscamos Ana Producto para el equipo.")
