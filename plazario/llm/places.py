@@ -29,7 +29,7 @@ MOST_ENTRIES = 20_000
 MOST_SHARDS = 64
 #: Values a worker remembers; past it the store starts afresh.
 REMEMBERED = 1 << 17
-#: Values longer than this many words in a segment are read by their exact runs only.
+#: Segments of more words are not looked up whole: their exact runs are, and if there is none their misspelt runs.
 MOST_SEGMENT_WORDS = 12
 
 #: Words around a place that do not name it.
@@ -122,7 +122,7 @@ class Gazetteer:
     def segment(self, words: list[str]) -> list[tuple[int, str]]:
         """Names in a segment, as (distance, name), in the order of the text."""
         words = [w for w in words if not w.isdigit()]
-        if not words or len(words) > MOST_SEGMENT_WORDS and not any(w in self.ids for w in words):
+        if not words:
             return []
         if " ".join(words) in COUNTRIES:
             return []
@@ -150,6 +150,12 @@ class Gazetteer:
                     i += n - 1
                     break
             i += 1
+        if not out and len(words) > MOST_SEGMENT_WORDS:  # misspelt runs, longest first; shorter segments were asked whole
+            for n in range(min(self.longest, MOST_SEGMENT_WORDS), 0, -1):
+                hits = {" ".join(words[i : i + n]): None for i in range(len(words) - n + 1)}
+                hits = [h for k in hits if len(k) > 3 and (h := self.near(k))]
+                if hits:
+                    return [min(hits, key=lambda h: h[0])]
         return out
 
     def read(self, value: str) -> tuple[int, int]:

@@ -230,3 +230,9 @@ def test_unknown_word_beside_a_title_or_cue():
     for text, name in (("Pregunta por Dña. Ana Olazagutia en recepción.", "Ana Olazagutia"), ("Kind regards,\nEmma Brackenthorpe", "Emma Brackenthorpe"), ("Frau Wendelgard Lindner kommt.", "Wendelgard Lindner")):
         assert [text[x.start : x.end] for x in m.best(text) if x.kind == "name"] == [name], text
     assert not m.best("Buscamos Ana Producto para el equipo.")
+
+
+def test_places_in_a_long_phrase():
+    g = places.Gazetteer(PLACES)
+    words = "trabajo muy flexible con equipo joven y oficina nueva situada cerca del centro historico de "
+    assert g.read(words + "pozuelo de alarcon")[0] == 4 and g.read(words + "pozuelo de alarcón junto al tren")[0] == 4 and g.read(words + "la coruña")[0] == 3 and g.read(words + "barcelnoa")[0] == 7
