@@ -228,7 +228,8 @@ class Bands:
         """(entry, score) of the listed company whose star a name joins; None if there is none, or another company is as near."""
         own = tokens(name)
         words = [w for w in own if w not in LEGAL]
-        met = {c for w in {*(w for w in words if len(w) > 2), "".join(words)} if w for c in self.met(w)}
+        # a short word only if it is some company's head: its own bands find it
+        met = {c for w in {*(w for w in words if len(w) > 2 or w in self.companies.head_users), "".join(words)} if w for c in self.met(w)}
         scores = [(s, c < 0, -c, c) for c in met if (s := self.companies.score(own, c)) >= LEAST_SCORE]
         best = max(scores, default=None)
         return (best[3], best[0]) if best and best[3] >= 0 else None

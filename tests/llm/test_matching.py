@@ -236,3 +236,8 @@ def test_places_in_a_long_phrase():
     g = places.Gazetteer(PLACES)
     words = "trabajo muy flexible con equipo joven y oficina nueva situada cerca del centro historico de "
     assert g.read(words + "pozuelo de alarcon")[0] == 4 and g.read(words + "pozuelo de alarcón junto al tren")[0] == 4 and g.read(words + "la coruña")[0] == 3 and g.read(words + "barcelnoa")[0] == 7
+
+
+def test_head_of_two_letters_is_looked_up():
+    index = names.Bands(names.Companies([(1, "EY", None), (2, "Nube Clara", None)]))
+    assert index.centre("EY Iberia")[0] == 1 and index.centre("EY España")[0] == 1 and index.centre("HP España") is None
