@@ -94,6 +94,43 @@ def title_groups(df: DataFrame, company: str, place: str, title: str) -> DataFra
     return several.groupBy(company, place).applyInPandas(group, f"`{company}` string, `{place}` string, `{title}` string, title_group string").unionByName(alone)
 
 
+def repost_groups(df: DataFrame) -> DataFrame:
+    """(arrival, repost): for rows of one company and bucket, the arrival of the first row of the repost group each belongs to, as text; groups of one are left out.
+
+    ``df`` has one row for each ``arrival`` and ``core``.  In order of arrival a row joins the first group whose representative's core is like its own; the representative
+    is replaced by the preferred of the two.  Only narrow rows of companies with several postings in a bucket move, but those of one company and bucket meet in one task.
+    """
+    place = ["company_key", "location_bucket"]
+    narrow = df.where("company_key is not null").select(*place, "arrival", "core", F.datediff("posted_at", F.lit("1970-01-01").cast("date")).cast("double").alias("day"), (F.col("source") == "session").alias("own"), F.length(F.coalesce("description_text", F.lit(""))).alias("length"))
+    several = narrow.join(narrow.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").drop("n"), place, "left_semi")
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        heads: list[list] = []
+        of: dict[int, int] = {}
+        match = SequenceMatcher()
+        for arrival, core, day, own, length in pdf.sort_values("arrival")[["arrival", "core", "day", "own", "length"]].itertuples(index=False):
+            match.set_seq2(core)
+            for h in heads:
+                match.set_seq1(h[1])
+                # the quick ratios are upper bounds
+                if match.real_quick_ratio() >= FUZZY_TITLE and match.quick_ratio() >= FUZZY_TITLE and SequenceMatcher(None, h[1], core).ratio() >= FUZZY_TITLE:
+                    of[arrival] = h[0]
+                    dated = day == day and h[2] == h[2] and day != h[2]
+                    stays = h[2] > day if dated else h[3] if h[3] != own else h[4] >= length
+                    if not stays:
+                        h[1:] = [core, day, own, length or h[4]]
+                    else:
+                        h[4] = h[4] or length
+                    break
+            else:
+                heads.append([arrival, core, day, own, length])
+        joined = set(of.values())
+        rows = [*of.items(), *((h, h) for h in joined)]
+        return pd.DataFrame({"arrival": pd.Series([a for a, _ in rows], dtype="int64"), "repost": pd.Series([str(h) for _, h in rows], dtype="object")})
+
+    return several.groupBy(*place).applyInPandas(group, "arrival bigint, repost string")
+
+
 def alias_suspicions(df: DataFrame, norm: str, key: str, name: str) -> DataFrame:
     """Normalised names under which several companies appear: (norm, keys, name as last seen)."""
     return df.where(F.col(norm) != "").groupBy(norm).agg(F.array_sort(F.collect_set(key)).alias("company_keys"), F.max_by(name, "seq").alias("name")).where(F.size("company_keys") > 1)

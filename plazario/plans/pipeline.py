@@ -10,8 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plazario.common import durable
+from plazario.common import blank_to_null, durable
 from plazario.functions.posting import bind
+from plazario.functions.text import title_core
 from plazario.operators import companies, dedupe, labels
 from plazario.operators.rules import any_hit
 
@@ -56,9 +57,20 @@ def label(postings: DataFrame) -> DataFrame:
     return out.withColumns({"level": F.col("verdict.label"), "level_confidence": F.col("verdict.confidence"), "role": F.col("role_verdict.label"), "role_second": F.col("role_verdict.second")}).drop("verdict", "role_verdict")
 
 
+def merged_postings(postings: DataFrame) -> DataFrame:
+    """Postings merged by identifier, then by repost key, then by likeness of their titles within a company and bucket, in order of first arrival."""
+    ids = postings.where(blank_to_null("job_id").isNotNull()).groupBy("job_id").agg(F.min("seq").alias("came"))
+    by_id = durable(dedupe.merge(postings, "job_id").join(ids, "job_id", "left").withColumn("arrival", F.coalesce("came", "seq").cast("bigint")).drop("came"))
+    keys = by_id.where(blank_to_null("dedupe_key").isNotNull()).groupBy("dedupe_key").agg(F.min("arrival").alias("came"))
+    by_key = dedupe.merge(by_id, "dedupe_key").join(keys, "dedupe_key", "left").withColumn("arrival", F.coalesce("came", "arrival")).drop("came")
+    by_key = durable(by_key.withColumn("core", F.coalesce(title_core("title_raw"), F.lit(""))))
+    keyed = by_key.join(dedupe.repost_groups(by_key), "arrival", "left")
+    return durable(dedupe.merge(keyed, "repost").select(*postings.columns))
+
+
 def process(postings: DataFrame, today: Column) -> Run:
-    """Merge by identifier, then by repost key; label; roll up and rank companies."""
-    merged = durable(dedupe.merge(dedupe.merge(postings, "job_id"), "dedupe_key"))
+    """Merge by identifier, by repost key and by likeness of titles; label; roll up and rank companies."""
+    merged = merged_postings(postings)
     labelled = label(merged)
     kept = labelled.where(F.col("level") != "NOT_DESIGN").where("company_key is not null")
     sure = F.coalesce("posted_confidence", F.lit(0.5))

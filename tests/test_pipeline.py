@@ -47,3 +47,11 @@ def test_companies_and_page(spark, tmp_path):
     assert "Estudio &lt;Marea&gt;" in html and "best_job_id" not in html
     report.write_tables(r, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "companies")).count() == 3
+
+
+def test_likely_reposts_of_a_company_and_bucket_are_merged(spark):
+    rows = [row(1, "1", "Senior Product Designer", "Nube"), row(2, "2", "Senior Product Desinger", "Nube", ago="hace 1 día"), row(3, "3", "Senior Product Desinger", "Otra"), row(4, "4", "UX Researcher", "Nube"), row(5, "5", "Senior Product Designr", "Nube", location="Barcelona")]
+    for n in (1, 3):
+        r = pipeline.process(pipeline.postings_of(spark.createDataFrame(rows, RAW).repartition(n), F.lit(TODAY)), F.lit(TODAY))
+        got = {x["job_id"]: (x["n_sightings"], x["merged_ids"]) for x in r.postings.collect()}
+        assert got == {"2": (2, ["1"]), "3": (1, []), "4": (1, []), "5": (1, [])} and r.reconcile().first()["balanced"]
