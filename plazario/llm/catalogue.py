@@ -32,15 +32,15 @@ def p4_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, pairs = near.near_duplicates(table(spark, sf_dir, "postings", "job_id", "title_raw", "description_text"), "job_id", "title_raw", "description_text")
-    return near.all_pairs(members, pairs).toDF("job_id_a", "job_id_b")
+    found = near.near_duplicates(table(spark, sf_dir, "postings", "job_id", "title_raw", "description_text"), "job_id", "title_raw", "description_text")
+    return near.all_pairs(*found).toDF("job_id_a", "job_id_b")
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each posting with the class of its text, the size of the class and the links of the class to other texts."""
-    members, pairs = near.near_duplicates(table(spark, sf_dir, "postings", "job_id", "title_raw", "description_text"), "job_id", "title_raw", "description_text")
+    rows, texts, pairs = near.near_duplicates(table(spark, sf_dir, "postings", "job_id", "title_raw", "description_text"), "job_id", "title_raw", "description_text")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    linked = members.join(links, "rep", "left")
+    linked = near.members(rows, texts).join(links, "rep", "left")
     return linked.select(F.col("key").alias("job_id"), F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

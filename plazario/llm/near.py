@@ -1,14 +1,13 @@
 """Near-duplicate records (byte-position inverted index with count filtering, then exact verification).
 
-Every text becomes a signature of bytes: byte i is one byte of the smallest value that the i-th hash function gives over the text's word shingles,
-so two texts agree at a position with probability J + (1 - J) / 256 where J is the share of their shingles in both.  The inverted index
-lists texts by position and content; as a single byte has 256 values and its lists would grow with the collection, an entry stands for the
-run of RUN neighbouring positions, and carries PART further bytes of the signature.  Texts of one list are paired, the shared positional
-bytes of a pair are tallied, first over the part, then over the whole signature, and pairs below the minimum that the threshold guarantees are
-dropped.  What is left is verified on the shingles themselves, so no wrong pair comes out.
-Of 8,000 drawn pairs each, 0.986 were found at J = 0.5, 0.998 at 0.55, 0.9999 at 0.6 and all at 0.65.
-
-Copies (equal shingles) are one representative through all of this and are put back at the end; long lists are sliced.
+Every text becomes a signature of one byte for each position (``lists``).  The inverted index lists the texts by position and byte, for ANCHORS positions, with the half-bytes of all positions:
+within a list the positions that two texts share are tallied, and pairs below the minimum for the threshold are dropped.  What is left is verified on the word shingles
+themselves, so no wrong pair comes out.
+
+What the minimum guarantees: a pair at J = 1/2 agrees at each position with probability 1/2, so it misses all ANCHORS lists, or all divisions of those that are long, or the tally, with
+probability below 0.0006; at J = 0.55 below 0.0001.  It is the same for a collection of any size.  Deterministic minima (prefixes of rare shingles) were measured and put aside, see README.
+
+Texts are the same if 128 bits of their word sequences are; the copies of a text are one text through all of this and are put back at the end.
 """
 
 from __future__ import annotations
@@ -17,112 +16,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plazario.common import broadcast_if_small, durable, partitions, spread
+from plazario.common import durable, partitions, spread
+from plazario.llm import lists as L
 from plazario.llm import shingles as S
-from plazario.operators.pairing import SLICE, sliced
-
-RUNS, RUN, PART = 40, 3, 16
-POSITIONS = RUNS * RUN
-#: Least agreeing bytes of the part, where J = 1/2 gives 8 on average, standard deviation 2, and J = 0.1 gives 1.7; and of the signature, where J = 1/2 gives 60, standard deviation 5.5.
-LEAST_PART, LEAST_BYTES = 6, 42
-#: Bytes of the short form of a signature, and how many must agree: J = 1/2 gives 16, standard deviation 2.8.
-SKETCH, LEAST_SKETCH = 32, 9
+from plazario.llm.sieve import may_hold, sieve
+from plazario.operators.pairing import looked_up, sliced
+
+FORM = L.Form(words=5, least=27)
 #: Words that a description needs.
 LEAST_WORDS = 40
 THRESHOLD = 0.5
-#: Lists are sized on every SAMPLE-th text; only how they are sliced depends on it.
+#: Lists are sized on every SAMPLE-th text; only how they are dealt out depends on it.
 SAMPLE = 64
+_TIMES = L.multipliers(FORM.positions)
 
-_SEEDS = S.mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64))
-_TIMES, _PLUS = (_SEEDS[:POSITIONS] | np.uint64(1))[:, None], _SEEDS[POSITIONS:][:, None]
-_SLAB = 2048
-_NONE, _SPREAD = np.iinfo(np.uint64).max, np.uint64(0x9E3779B97F4A7C15)
-
-
-def _smallest_bytes(sh: np.ndarray, positions: int) -> np.ndarray:
-    """One byte of the smallest value of each of the first ``positions`` hash functions, in 64-bit words; in slabs of bounded memory."""
-    least = (sh[:_SLAB][None, :] * _TIMES[:positions] + _PLUS[:positions]).min(axis=1, initial=_NONE)
-    for i in range(_SLAB, len(sh), _SLAB):
-        least = np.minimum(least, (sh[i : i + _SLAB][None, :] * _TIMES[:positions] + _PLUS[:positions]).min(axis=1))
-    # the smallest value is small: its low bits are brought up before the top byte is taken
-    return ((least * _SPREAD) >> np.uint64(56)).astype(np.uint8).view(np.int64)
 
+def _index_blobs(signatures: np.ndarray, ids: np.ndarray, hot: dict[int, int]) -> pa.RecordBatch:
+    """The index of distinct texts: an entry in the list of each anchor position and its byte."""
+    rows = L.entries(signatures, ids.view(np.uint64), FORM)
+    lists = ((np.arange(L.ANCHORS) << 8)[None, :] | signatures[:, : L.ANCHORS]).ravel()
+    return L.blobs(*L.dealt(lists, np.repeat(rows, L.ANCHORS, axis=0), np.repeat(S.mix(ids.view(np.uint64)), L.ANCHORS), hot))
 
-def signature(sh: np.ndarray) -> np.ndarray:
-    """POSITIONS bytes of any number of shingles."""
-    return _smallest_bytes(sh, POSITIONS)
 
+def indexed(texts: DataFrame, title: str, body: str, hot: dict[int, int]) -> DataFrame:
+    """(list, blob): the inverted index of the rows whose ``body`` has LEAST_WORDS words; copies within a batch are one."""
 
-def sketch(sh: np.ndarray) -> np.ndarray:
-    """The first SKETCH bytes of a signature."""
-    return _smallest_bytes(sh, SKETCH)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, signatures = [np.empty(0, np.int64)], [np.empty((0, FORM.positions), np.uint8)]
+            for t in S.texts(b.column(0), b.column(1), LEAST_WORDS):
+                ids.append(np.array([x for x, _ in t.ids()], np.int64))
+                signatures.append(L.signatures(*t.runs(), _TIMES))
+            ids, first = np.unique(np.concatenate(ids), return_index=True)
+            yield _index_blobs(np.concatenate(signatures)[first], ids, hot)
 
-def _texts(title: pa.Array, body: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Row and words of title and body where the body has LEAST_WORDS words."""
-    for i, (t, d) in enumerate(zip(title.to_pylist(), body.to_pylist(), strict=True)):
-        below = S.words(d)
-        if len(below) >= LEAST_WORDS:
-            yield i, [*S.words(t), *below]
+    return spread(texts.select(title, body)).mapInArrow(run, L.BLOBS)
 
 
-def content_id(sh: np.ndarray) -> int:
-    """64 bits that equal texts share.  Should two texts ever share them by chance, verification still looks at both."""
-    return xxhash.xxh3_64_intdigest(sh.tobytes()) - (1 << 63)
+def hot_lists(texts: DataFrame, key: str, title: str, body: str) -> dict[int, int]:
+    """Lists that hold more than BLOCK texts, with the blocks to deal them to: at most 256 for each anchor.  No list is longer than the collection."""
+    if texts.count() <= L.BLOCK:
+        return {}
+    some = indexed(texts.where(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0), title, body, {})
+    sizes = some.groupBy("list").agg((F.sum(F.length("blob")) / (8 * FORM.width) * SAMPLE).alias("n")).where(F.col("n") > L.BLOCK).collect()
+    return {r["list"]: -(-int(r["n"]) // L.BLOCK) for r in sizes}
 
 
-def signatures(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
-    """(key, id, signature) of the rows whose ``body`` has LEAST_WORDS words."""
+def meetings(index: DataFrame) -> DataFrame:
+    """(a, b): ids, a < b, of texts of one list that share enough positions; a pair may come out several times."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = S.Hasher()
-        for b in batches:
-            rows, ids, sigs = [], [], []
-            for i, ws in _texts(b.column(1), b.column(2)):
-                sh = S.shingles(hasher(ws))
-                rows.append(i)
-                ids.append(content_id(sh))
-                sigs.append(signature(sh))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(ids, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["key", "id", "signature"])
+    def found(lists: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = rows[:, -1].view(np.int64)
+        order = np.lexsort((ids, lists))
+        lists, ids = lists[order], ids[order]
+        kept = np.concatenate([[True], (lists[1:] != lists[:-1]) | (ids[1:] != ids[:-1])])
+        lists, ids, rows = lists[kept], ids[kept], rows[order[kept]]
+        columns = [np.ascontiguousarray(rows[:, k]) for k in range(FORM.words + 1)]
+        for i, j, _ in L.meet(lists, columns, FORM):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["a", "b"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return spread(df.select(F.col(key), F.col(title), F.col(body))).mapInArrow(run, f"key {kind}, id bigint, signature array<bigint>")
+    return L.processed(index, FORM, found, "a bigint, b bigint")
 
 
-def shingle_sets(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
-    """(key, shingles) of the rows of ``df``, whose bodies are long enough; the upper 32 bits of each shingle.
-
-    Two of a pair's shingles agree by chance with probability 5e-6, by which the share moves less than a hundredth.
-    """
+def read_again(texts: DataFrame, key: str, title: str, body: str, concerned: np.ndarray) -> DataFrame:
+    """(key, id, id2, near, shingles) of the rows whose body has LEAST_WORDS words; ``near`` if the filter holds the text, with its shingles once for each batch."""
+    shared = texts.sparkSession.sparkContext.broadcast(concerned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = S.Hasher()
         for b in batches:
-            rows, sets = [], []
-            for i, ws in _texts(b.column(1), b.column(2)):
-                rows.append(i)
-                sets.append(np.unique((S.shingles(hasher(ws)) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(sets, pa.list_(pa.int32()))], ["key", "shingles"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(title), F.col(body)).mapInArrow(run, f"key {kind}, shingles array<int>")
-
-
-def equal_bytes(a: Column, b: Column) -> Column:
-    """Number of agreeing bytes of two bigints."""
-    x = a.bitwiseXOR(b)
-    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-    return F.lit(8) - F.bit_count(x)
+            for t in S.texts(b.column(1), b.column(2), LEAST_WORDS):
+                ids = np.array(t.ids(), np.int64).reshape(-1, 2)
+                near = may_hold(shared.value, ids[:, 0])
+                _, first = np.unique(ids, axis=0, return_index=True)
+                told = near & np.isin(np.arange(len(ids)), first)
+                own = t.shingles() if told.any() else []
+                sets = [own[k].view(np.int64) if x else None for k, x in enumerate(told.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t.rows, pa.int32())), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(near), pa.array(sets, pa.list_(pa.int64()))], ["key", "id", "id2", "near", "shingles"])
 
-
-def tally(a: Column, b: Column) -> Column:
-    """Number of agreeing positions of two signatures."""
-    return F.aggregate(F.zip_with(a, b, equal_bytes), F.lit(0), lambda s, x: s + x)
+    kind = texts.schema[key].dataType.simpleString()
+    return spread(texts.select(F.col(key), F.col(title), F.col(body))).mapInArrow(run, f"key {kind}, id bigint, id2 bigint, near boolean, shingles array<bigint>")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -131,84 +107,43 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
-def entries(reps: DataFrame) -> DataFrame:
-    """The index of (id, signature): one row (place, id, part, more) for each run; ``place`` is the run's number and bytes."""
+def near_duplicates(df: DataFrame, key: str, title: str, body: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (key, id, id2), texts (id, id2, rep, copies), and pairs (a, copies_a, b, copies_b, similarity) of representatives that share ``threshold`` of their shingles.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.arange(RUNS, dtype=np.int32) << 24
-        # the part: the two words after the one in which the run ends, around the end
-        after = ((np.arange(RUNS) * RUN + RUN - 1) // 8 + 1) % (POSITIONS // 8)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                sig = b.column(1).flatten().to_numpy().reshape(-1, POSITIONS // 8)
-                place = number + sig.view(np.uint8).reshape(-1, RUNS, RUN).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32)
-                part, more = sig[:, after], sig[:, (after + 1) % (POSITIONS // 8)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (place, np.repeat(b.column(0).to_numpy(), RUNS), part, more)], ["place", "id", "part", "more"])
-
-    return reps.select("id", "signature").mapInArrow(run, "place int, id bigint, part bigint, more bigint")
-
-
-def meetings(reps: DataFrame) -> DataFrame:
-    """(a, b): ids, a < b, of texts of which some run and its part, and then the whole signature, share enough bytes."""
-    # one shuffle serves both sides of the join
-    index = entries(reps).repartition(partitions(reps.sparkSession), "place")
-    least = max(2, SLICE // SAMPLE)
-    hot = entries(reps.where(F.pmod("id", F.lit(SAMPLE)) == 0)).groupBy("place").agg((F.count("*") * SAMPLE).alias("rows")).where(F.col("rows") >= least * SAMPLE)
-    hot = durable(hot)
-    columns, left, right = ("id", "part", "more"), ("a", "part_a", "more_a"), ("b", "part_b", "more_b")
-    # few lists are long; they are told apart by a broadcast of their places if these are few, so that the others move once
-    places = broadcast_if_small(hot)
-    usual = index.join(places.select("place"), "place", "left_anti")
-    met = usual.alias("l").join(usual.alias("r"), F.col("l.place") == F.col("r.place"))
-    met = met.select(*[F.col(f"l.{c}").alias(x) for c, x in zip(columns, left, strict=True)], *[F.col(f"r.{c}").alias(x) for c, x in zip(columns, right, strict=True)])
-    long = index.join(places, "place").select("place", *columns, "rows")
-    met = met.unionByName(sliced(long.toDF("place", *left, "rows"), long.toDF("place", *right, "rows"), ["place"], "a", "rows").drop("place"))
-    alike = equal_bytes(F.col("part_a"), F.col("part_b")) + equal_bytes(F.col("more_a"), F.col("more_b")) >= LEAST_PART
-    near = met.where((F.col("a") < F.col("b")) & alike)
-    pairs = broadcast_if_small(durable(near.select("a", "b").distinct()))
-    full = reps.select("id", "signature")
-    both = pairs.join(full.toDF("a", "sig_a"), "a").join(full.toDF("b", "sig_b"), "b")
-    return both.where(tally(F.col("sig_a"), F.col("sig_b")) >= LEAST_BYTES).select("a", "b")
-
-
-def shared_shingles(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with the similarity of the sets of ``a`` and ``b``; the sets are made and moved once for both sides."""
-    kept = sets.repartition(partitions(pairs.sparkSession), "key")
-    one = pairs.join(kept.alias("s"), F.col(a) == F.col("s.key")).select(*pairs.columns, F.col("s.shingles").alias("sh_a"))
-    both = one.join(kept.alias("t"), F.col(b) == F.col("t.key")).select(*pairs.columns, "sh_a", F.col("t.shingles").alias("sh_b"))
-    return both.select(*pairs.columns, jaccard(F.col("sh_a"), F.col("sh_b")).alias("similarity"))
-
-
-def near_duplicates(df: DataFrame, key: str, title: str, body: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Members (key, id, rep, copies) of classes of equal texts, and pairs (a, b, similarity) of representatives that share ``threshold`` of their shingles.
-
-    Rows whose body is null, empty or has fewer than LEAST_WORDS words are in neither; a null title counts as empty; rows of a null key are left out;
+    Rows whose body is null, empty or has fewer than LEAST_WORDS words are in none of them; a null title counts as empty; rows of a null key are left out;
     of rows that repeat a key all take part; very long texts are used whole; empty input gives empty results.
     """
-    texts = df.where(F.col(key).isNotNull())
-    signed = durable(signatures(texts, key, title, body))
-    # texts with copies are few as a rule: only they are looked up, the others stay where they are
-    copied = broadcast_if_small(durable(signed.groupBy("id").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).where("copies > 1")))
-    members = signed.select("key", "id").join(copied, "id", "left").select("key", "id", F.coalesce("rep", "key").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    later = copied.select(F.col("id").alias("of"), "rep")
-    reps = signed.join(later, F.col("id") == F.col("of"), "left").where("of is null or key = rep").select("id", F.col("key").alias("rep"), "signature")
-    met = broadcast_if_small(durable(meetings(reps)))
-    name = reps.select("id", "rep")
-    named = durable(met.join(name.toDF("a", "rep_a"), "a").join(name.toDF("b", "rep_b"), "b").select("rep_a", "rep_b").distinct())
-    concerned = broadcast_if_small(durable(named.select(F.explode(F.array("rep_a", "rep_b")).alias(key)).distinct()))
-    sets = shingle_sets(texts.join(concerned, key, "left_semi"), key, title, body)
-    pairs = shared_shingles(named, sets, "rep_a", "rep_b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "similarity")
-    return members, pairs.where(F.col("similarity") >= threshold)
-
-
-def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    every = df.where(F.col(key).isNotNull())
+    met = durable(meetings(indexed(every, title, body, hot_lists(every, key, title, body))).distinct())
+    rows = durable(read_again(every, key, title, body, sieve(met.select(F.explode(F.array("a", "b"))).distinct())))
+    texts = rows.groupBy("id", "id2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+    # moved by id once, for both sides of the pairs
+    sets = rows.where("shingles is not null").select("id", "id2", "shingles").repartition(partitions(df.sparkSession), "id").groupBy("id", "id2").agg(F.first("shingles").alias("shingles"))
+    one = met.join(sets.toDF("a", "a2", "sh_a"), "a")
+    both = one.join(sets.toDF("b", "b2", "sh_b"), "b").select("a", "a2", "b", "b2", jaccard(F.col("sh_a"), F.col("sh_b")).alias("similarity"))
+    linked = both.where(F.col("similarity") >= threshold)
+    named = linked.join(texts.toDF("a", "a2", "rep_a", "copies_a"), ["a", "a2"]).join(texts.toDF("b", "b2", "rep_b", "copies_b"), ["b", "b2"])
+    swap = F.col("rep_a") > F.col("rep_b")
+    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(o) for x, y, o in (("rep_a", "rep_b", "a"), ("copies_a", "copies_b", "copies_a"), ("rep_b", "rep_a", "b"), ("copies_b", "copies_a", "copies_b"))]
+    return rows.select("key", "id", "id2"), texts, named.select(*ends, "similarity")
+
+
+def members(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, rep, copies): every row with the representative of its text."""
+    return looked_up(rows, texts, ["id", "id2"], "copies").select("key", "rep", "copies")
+
+
+def all_pairs(rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b), a < b: every pair of rows, with copies put back."""
-    many = durable(members.where("copies > 1").select(F.col("key").alias("row"), "rep", "copies"))
+    many = durable(members(rows, texts.where("copies > 1")))
     within = sliced(many.toDF("row_a", "rep", "n"), many.toDF("row_b", "rep", "n"), ["rep"], "row_a", "n").where("row_a < row_b").select("row_a", "row_b")
-    # representatives without copies need no second look
-    of = many.select("row", "rep")
-    left = pairs.select("a", "b").join(of.toDF("row_a", "a"), "a", "left").select(F.coalesce("row_a", "a").alias("row_a"), "b")
-    across = left.join(of.toDF("row_b", "b"), "b", "left").select("row_a", F.coalesce("row_b", "b").alias("row_b"))
+
+    def put_back(of: DataFrame, end: str) -> DataFrame:
+        # texts without copies need no second look; the rows of a text with many are dealt out over slices
+        alone = of.where(F.col(f"copies_{end}") == 1).withColumn(f"row_{end}", F.col(end))
+        several = sliced(many.toDF(f"row_{end}", end, "n"), of.where(F.col(f"copies_{end}") > 1).withColumn("n", F.col(f"copies_{end}")), [end], f"row_{end}", "n")
+        return alone.unionByName(several)
+
+    across = put_back(put_back(pairs.select("a", "copies_a", "b", "copies_b"), "a"), "b").select("row_a", "row_b")
     both = across.unionByName(within)
     return both.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
