@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that are paired directly; a longer list is dealt out over salted slices.
 SLICE = 512
+#: Left rows of one key that may meet in one task; keys with more are at most one for so many rows, so they are broadcast.
+HOT = 100_000
 
 
 def sliced(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, rows: str, slice_rows: int = SLICE) -> DataFrame:
@@ -20,3 +22,13 @@ def sliced(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, row
     a = left.withColumn("slice", F.pmod(F.xxhash64(left_id), n).cast("int")).drop(rows)
     b = right.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1))).drop(rows)
     return a.join(b, [*keys, "slice"]).drop("slice")
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], rows: str, hot: int = HOT) -> DataFrame:
+    """Inner equi-join with a table of unique ``keys`` that knows, in ``rows``, how many left rows each has.
+
+    Keys with more than ``hot`` rows are told apart and looked up by a broadcast, which holds at most one row for ``hot`` rows of ``left``; the others move.
+    """
+    few = F.broadcast(right.where(F.col(rows) > hot))
+    rest = left.join(F.broadcast(right.where(F.col(rows) > hot).select(*keys)), keys, "left_anti")
+    return left.join(few, keys).unionByName(rest.join(right.where(F.col(rows) <= hot), keys))
