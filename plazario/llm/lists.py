@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Positions that lists are keyed by, and those whose whole bytes divide a long list.
-ANCHORS, PAIRED = 14, 16
+ANCHORS, PAIRED = 16, 16
 #: Records of a list that are compared without division, at first and within a division.
 SHORT, DIVIDED = 48, 1024
 #: Records of a list in one task.
@@ -35,7 +35,7 @@ BLOBS = "list bigint, blob binary"
 class Form:
     """What a list carries: ``words`` of 16 half-bytes each, and the least number that must agree, all and in the first two words.
 
-    At J = 1/2 a half-byte agrees with probability 1/2 + 1/32.  ``least`` lies 3.5 standard deviations below the mean there, ``early`` 3.9.
+    At J = 1/2 a half-byte agrees with probability 1/2 + 1/32.  ``least`` lies about 3.5 standard deviations below the mean there, ``early`` 3.9.
     """
 
     words: int

@@ -97,15 +97,35 @@ def test_words(s):
     assert S.words(s) == want
 
 
+@given(st.lists(st.tuples(st.text(max_size=60), st.text(max_size=60)), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_texts_of_a_batch_are_those_of_their_own(rows):
+    import pyarrow as pa
+
+    whole = list(S.texts(pa.array([t for t, _ in rows]), pa.array([d for _, d in rows]), 0))[0]
+    runs, first = whole.runs()
+    chunks, begin = whole.chunks()
+    for k, (t, d) in enumerate(rows):
+        one = S.one_text(t, d)
+        assert whole.ids()[k] == one.ids()[0] and len(one.hashes) == len(S.words(t)) + len(S.words(d))
+        assert runs[first[k] : first[k + 1]].tolist() == one.runs()[0].tolist()
+        assert chunks[begin[k] : begin[k + 1]].tolist() == one.chunks()[0].tolist()
+        assert S.chunk_bytes(one.chunks()[0]) <= sum(len(w) + 1 for w in S.words(t) + S.words(d))
+
+
+def test_hashes_of_words_of_any_length():
+    ws = [b"a", b"ab", b"12345678", b"123456789", b"x" * 17, b"x" * 16, b"y" * 100_000, b"a"]
+    h, _, size = S.hash_words(b" ".join(ws))
+    assert len(set(h.tolist())) == 7 and h[0] == h[7] and size.tolist() == [len(w) for w in ws]
+
+
 def test_chunks_are_local():
     rng = np.random.default_rng(1)
-    ws = [b"w%d" % i for i in rng.integers(0, 500, 400)]
-    h = S.Hasher()
-    a = set(S.chunks(h(ws)).tolist())
-    other = ws[:200] + [b"edited"] + ws[200:]
-    b = set(S.chunks(h(other)).tolist())
+    ws = [f"w{i}" for i in rng.integers(0, 500, 400)]
+    a = set(S.one_text("", " ".join(ws)).chunks()[0].tolist())
+    b = set(S.one_text("", " ".join(ws[:200] + ["edited"] + ws[200:])).chunks()[0].tolist())
     assert len(a & b) >= len(a) - 3
-    assert len(S.chunks(h([]))) == 0
+    assert len(S.one_text(None, None).chunks()[0]) == 0
 
 
 def index():
