@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable
 
@@ -15,16 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session does not name the folder for checkpoints."""
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without that
-    setting (tests, a laptop) gets a temporary one.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; a local session (tests, a laptop) without that setting gets a temporary one, any other is refused.
+    What the plan had shuffled is no longer needed then and let go of, so that its disk is free for what follows.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plazario-"))
-    return df.checkpoint(eager=True)
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise NoSharedFolder("spark.checkpoint.dir is not set: checkpoints must go to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="plazario-")
+        sc.setCheckpointDir(folder)
+    cut = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return cut
 
 
 class TooManyRows(ValueError):
@@ -39,12 +53,8 @@ def bounded(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
-#: Rows of a narrow table (some tens of bytes each) that may be broadcast.
-MOST_BROADCAST = 1_000_000
-
-
-def broadcast_if_small(cut: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``cut``, a durable narrow table, marked for broadcast if it has at most ``most`` rows; otherwise joins shuffle."""
+def broadcast_if_small(cut: DataFrame, most: int) -> DataFrame:
+    """``cut``, a narrow reference table, marked for broadcast if it has at most ``most`` rows; otherwise joins shuffle."""
     return F.broadcast(cut) if cut.count() <= most else cut
 
 
