@@ -15,6 +15,7 @@ Defined results: null, empty and blank texts have no items; texts of any length
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,12 +29,12 @@ from plazario.common import bounded, durable, spread
 from plazario.llm.pii_examples import EXAMPLES
 
 KINDS = ("email", "phone", "ident", "address", "name")
-#: Words that a round may add to the name lexicon, and partners and share of capitals that a word needs.
-MOST_NAMES, LEAST_PARTNERS, LEAST_CAPITAL = 50_000, 2, 0.9
+#: Words that a round may add to the name lexicon (more are refused, none is left out), and partners and share of capitals that a word needs.
+MOST_NAMES, LEAST_PARTNERS, LEAST_CAPITAL = 1_000_000, 2, 0.9
 #: Rows that a list of names may have.
 MOST_LISTED = 200_000
 #: Longest name candidate in words.
-MOST_WORDS = 4
+MOST_WORDS = 6
 
 _U, _L = r"\p{Lu}", r"[\p{Ll}\p{M}'’]"
 _W = rf"(?:{_U}{_L}+(?:-{_U}{_L}+)*|{_U}{{2,}}(?:-{_U}{{2,}})*)"
@@ -41,18 +42,18 @@ _AT = r"(?:\s?@\s?|\s*[\[({<]\s*(?:at|arroba|a)\s*[\])}>]\s*|\s+(?:arroba|at)\s+
 _DOT = r"(?:\.|\s*[\[({<]\s*(?:dot|punto|point|punkt|ponto)\s*[\])}>]\s*|\s+(?:dot|punto)\s+)"
 _NUM = r"(?:,?\s*(?:n\.?\s?[ºo°]\.?|núm\.?|no\.|nr\.?)?\s*\d{1,4}(?:\s?(?:bis|ter)\b|[A-Za-z]\b(?![.'’])|\s[B-Z]\b(?![.'’]))?)"
 _NAMEWORDS = rf"(?:(?:de|del|la|las|los|el|da|do|das|dos|du|des|d['’]|l['’]|le|les|y|e|von|der|den|am|an|a|o)\s*)*(?:{_U}[\w'’.-]*\s*|\s*(?:de|del|la|las|los|da|do|das|dos|du|des|y|en)\s+)+?"
-_ROAD_BEFORE = r"(?i:calle|c/|avenida|avda\.?|av\.|paseo|p\.º|pº|plaza|pza\.?|pl\.|ronda|camino|cno\.|carretera|ctra\.?|travesía|trav\.|glorieta|pasaje|callejón|rua|r\.|travessa|tv\.|largo|praça|alameda|urbanización)"
+_ROAD_BEFORE = r"(?i:calle|c/|avenida|avda\.?|av\.|paseo|p\.º|pº|plaza|pza\.?|pl\.|ronda|camino|cno\.|carretera|ctra\.?|travesía|trav\.|glorieta|pasaje|callejón|rua|r\.|travessa|tv\.|largo|praça|alameda|urbanización|carrer|avinguda|plaça|passeig)"
 _ROAD_AFTER = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Close|Cl\.|Avenue|Ave\.?|Drive|Dr\.|Court|Ct\.|Terrace|Square|Sq\.|Way|Place|Crescent|Gardens|Grove|Row|Mews|Hill|STREET|ROAD|LANE|CLOSE)"
 _FLOOR = r"(?:\s?,?\s*(?:-\s*)?(?:\d{1,2}\.?\s?[ºª°]\s?(?:[A-Za-z]\b|(?:dcha|izda|esq|dto)\b\.?)?|bajo(?:\s(?:dcha|izda)\.?|\b)|r/c|ático)(?!\w))?"
 
 #: Proposals by kind; each keeps every match, the model decides.
 PROPOSALS = {
-    "email": [rf"(?<![\w.+%@-])[\w.+%-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+"],
-    "phone": [r"(?<![\w/.,+-])(?<!\d\s)(?:\(\+?\d{1,3}\)|\+\d{1,3}|00\d{2}(?=[ .-]))?[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,12}(?:(?:[ .-]|\s?/\s?)\d{2,9}){0,5}(?![\w/]|[.,-]\d)"],
+    "email": [rf"{_AT}[\w-]+(?:{_DOT}[\w-]+)+"],
+    "phone": [r"(?<![\w/.,+-])(?<!\d\s)(?:\(\+?\d{1,3}\)|\+\d{1,3}|00\d{2}(?=[ .-])|1(?=[ .-]\d{3}[ .-]))?[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,12}(?:(?:[ .-]|\s?/\s?)\d{2,9}){0,5}(?![\w/]|[.,-]\d)"],
     "ident": [
         r"(?<![\w/.-])\d{2}[. ]?\d{3}[. ]?\d{3}[ .-]?[A-Za-z](?!\w)", r"(?<![\w/.-])[XYZxyz][ .-]?(?:\d{7}|\d\.\d{3}\.\d{3}|\d \d{3} \d{3})[ .-]?[A-Za-z](?!\w)", r"(?<![\w/.-])[A-Z]{3} ?\d{6}[A-Z]?(?!\w)", r"(?<![\w/.-])(?=[A-Z0-9]*[A-Z])(?=(?:[A-Z0-9]*\d){3})[A-Z0-9]{9,11}(?!\w)", r"(?<![\w/.-])\d{2}[/ ]\d{7,8}[/ ]\d{2}(?![\w/])", r"(?<![\w/.-])\d{2}-\d{8}-\d{2}(?!\w)",
         r"(?<![\w/.-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)", r"(?<![\w/.-])\d{3}-\d{2}-\d{4}(?![\w-])", r"(?<![\w/.-])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?!\w)", r"(?<![\w/.-])\d{12}(?!\w)",
-        r"(?<![\w/.-])\d{9}(?!\w)", r"(?<![\w/.-])(?<!\d )\d{3} \d{3} \d{3}(?! ?\d|\w)", r"(?<![\w/.-])\d{2} \d{3} \d{3} \d{3}(?!\w)", r"(?<![\w/.-])\d{8}-?[A-Z](?!\w)", r"(?<![\w/.-])\d{8} \d [A-Z]{2}\d(?!\w)",
+        r"(?<![\w/.-])\d{9}(?!\w)", r"(?<![\w/.-])(?<!\d )\d{3} \d{3} \d{3}(?! ?\d|\w)", r"(?<![\w/.-])\d{2} \d{3} \d{3} \d{3}(?!\w)", r"(?<![\w/.-])\d{8}-?[A-Z](?!\w)", r"(?<![\w/.-])\d{8} \d [A-Z]{2}\d(?!\w)", r"(?<![\w/.-])[A-Z]{4}\d{6}[A-Z]{6}[A-Z0-9]\d(?!\w)", r"(?<![\w/.-])[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z](?!\w)",
     ],
     "address": [
         rf"(?<![\w.]){_ROAD_BEFORE}\s*{_NAMEWORDS}{_NUM}{_FLOOR}",
@@ -61,10 +62,23 @@ PROPOSALS = {
         rf"(?<![\w.])\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?i:rue|avenue|av\.|boulevard|bd|allée|impasse|quai|chemin|place|cours|route|passage)\s(?:(?:de la|de l['’]|du|des|de|d['’])\s?)?(?:{_U}[\w'’-]*\s?)+",
     ],
 }
-_PROPOSE = [(kind, regex.compile(p)) for kind, ps in PROPOSALS.items() for p in ps]
+_EMAIL = regex.compile(PROPOSALS["email"][0])
+_NUMBERS = [(kind, regex.compile(p)) for kind in ("phone", "ident") for p in PROPOSALS[kind]]
+_ADDRESSES = [regex.compile(p) for p in PROPOSALS["address"]]
+_FLATS = re.compile(r"(?<![\w.])(?:Flat|Apt|Unit|Suite|FLAT)")
+_GERMAN_ROADS = re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|STRASSE|WEG|GASSE|STRAßE)\s\d")
+_ROADS = re.compile(r"(?<![\w.])(?:c(?:alle(?:jón)?|/|amino|no\.|arretera|tra\.?)|a(?:venida|vda\.?|v\.|lameda)|p(?:aseo|\.º|º|laza|za\.?|l\.|asaje|raça)|r(?:onda|ua|\.)|t(?:ravesía|rav\.|ravessa|v\.)|glorieta|largo|urbanización|carrer|avinguda|plaça|passeig)", re.I)
+#: Digits, how far from one a number's characters and what stands before it may lie, and how few no number has.
+_DIGITS, _MARGIN, LEAST_DIGITS = re.compile(r"\d+"), 24, 3
 _TOKEN = regex.compile(rf"(?P<initial>{_U}\.(?:-{_U}\.)?)|(?P<word>{_W})(?![\p{{L}}])")
-_PARTICLE = regex.compile(r"\s(?:de la|de los|de las|del|de|da|do|dos|das|van der|van|von|y|e|du)\s")
+_SMALL_WORDS = r"\s(?:de la|de los|de las|del|de|da|do|dos|das|van der|van|von|y|e|du)\s"
+_PARTICLE = regex.compile(_SMALL_WORDS)
+#: Two and more words that may be a name, as they stand together.
+_ONE = rf"(?:{_U}\.(?:-{_U}\.)?|{_W}(?![\p{{L}}]))"
+_RUN = regex.compile(rf"{_ONE}(?:(?: |, |{_SMALL_WORDS}){_ONE})+")
 _MARKS = regex.compile(r"\p{M}+")
+#: The end of a sentence, not of an abbreviation.
+_FULL_STOP = re.compile(r"\w{3}[.!?]\s")
 #: Titles and other words that stand before a name or look like part of one.
 TITLES = set("mr mrs ms miss dr dra sr sra srta d dña dna don doña dona prof herr frau madame monsieur mme m senhor senhora mister sir lady mlle".split())
 NOT_NAMES = TITLES | set("estudio grupo contact contacto contacta ansprechperson segun según firmado saludos saludo regards un el la los las the si no te para room sala premio le les das der die el os as signed telefon telephone teléfono seleccion selección jobs rrhh de von steuernummer mi my".split())
@@ -74,7 +88,8 @@ _CUE = {
     "phone": set("llámame llamame teléfono telefono móvil movil tel tlf número numero mobile phone call ring reach dudas questions ruf handy téléphone appelez telemóvel ligue".split()),
     "ident": set("identificación identificacion documento dni nie nif national number holds social sociale sécurité seguridad file tratamiento pasaporte identidad passport ausweis".split()),
     "no": set("tique ticket versión version oferta posting lote batch factura invoice presupuesto muestra sample coordenadas salarial salary band referencia ref pedido order no n.º euros respuestas answers publicada live".split()),
-    "name": set("con with avec mit com por for firmado contacto contact ansprechperson avisar candidata candidate saludo regards grüße cumprimentos cordialement según to pregunta hablé spoke parlé gesprochen falei referencias según".split()),
+    "closing": set("firmado signed contacto contact ansprechperson saludo saludos regards grüße grüßen cumprimentos cordialement atentamente sincerely atenciosamente".split()),
+    "name": set("con with avec mit com por for avisar candidata candidate según to pregunta hablé spoke parlé gesprochen falei referencias".split()),
 }
 _NEAR = regex.compile(r"[\p{L}\p{N}.º&]+")
 
@@ -101,6 +116,45 @@ def _shape(s: str) -> str:
     return regex.sub(r"\p{L}+", "a", regex.sub(r"\d+", lambda m: str(len(m[0])), s))
 
 
+def _windows(numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Stretches of a text around its digits, wide enough for everything written with some; only those with LEAST_DIGITS."""
+    start = end = digits = 0
+    for a, b in [*numbers, (1 << 62, 1 << 62)]:
+        if a - _MARGIN > end:
+            if digits >= LEAST_DIGITS:
+                yield start, end
+            start, digits = max(0, a - _MARGIN), 0
+        end = b + _MARGIN
+        digits += b - a
+
+
+def _proposed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Candidate spans of all kinds but names."""
+    if _ATSIGN.search(text):
+        for m in _EMAIL.finditer(text):
+            s = m.start()
+            while s and (text[s - 1].isalnum() or text[s - 1] in "_.+%-"):
+                s -= 1
+            if s < m.start() and not (s and text[s - 1] == "@"):
+                yield s, m.end(), "email"
+    numbers = [m.span() for m in _DIGITS.finditer(text)]
+    if not numbers:
+        return
+    for a, b in _windows(numbers):
+        for kind, p in _NUMBERS:
+            for m in p.finditer(text, a, b):
+                yield *m.span(), kind
+    before, english, german, french = _ADDRESSES
+    starts = [(before, m.start()) for m in _ROADS.finditer(text)] + [(english, m.start()) for m in _FLATS.finditer(text)]
+    starts += [(p, a) for a, b in numbers if b - a <= 4 for p in (english, french)]
+    for p, at in starts:
+        if (found := p.match(text, at)) is not None:
+            yield *found.span(), "address"
+    if _GERMAN_ROADS.search(text):
+        for m in german.finditer(text, overlapped=True):
+            yield *m.span(), "address"
+
+
 class Model:
     """Weights, name lexicon, and the dynamic programme."""
 
@@ -115,20 +169,13 @@ class Model:
 
     def segments(self, text: str, lang: str | None = None) -> list[Segment]:
         out: dict[tuple, Segment] = {}
-        for kind, p in _PROPOSE:
-            if kind == "phone" or kind == "ident" or kind == "address":
-                if not _DIGIT.search(text):
-                    continue
-            elif not _ATSIGN.search(text):
-                continue
-            for m in p.finditer(text, overlapped=kind == "address"):
-                s, e = m.span()
-                while s < e and text[s] in " .-":
-                    s += 1
-                while e > s and text[e - 1] in " ,\n":
-                    e -= 1
-                if (s, e, kind) not in out and (kind != "phone" or 8 <= sum(c.isdigit() for c in text[s:e]) <= 15):
-                    out[s, e, kind] = Segment(s, e, kind, self._features(text, s, e, kind))
+        for s, e, kind in _proposed(text):
+            while s < e and text[s] in " .-":
+                s += 1
+            while e > s and text[e - 1] in " ,\n":
+                e -= 1
+            if (s, e, kind) not in out and (kind != "phone" or 8 <= sum(c.isdigit() for c in text[s:e]) <= 15):
+                out[s, e, kind] = Segment(s, e, kind, self._features(text, s, e, kind))
         out |= self._names(text, lang)
         return list(out.values())
 
@@ -164,43 +211,21 @@ class Model:
 
     def _names(self, text: str, lang: str | None) -> dict[tuple, Segment]:
         out: dict[tuple, Segment] = {}
-        runs: list[list[tuple[int, int, str, str]]] = []
-        last = -9
-        for m in _TOKEN.finditer(text):
-            kind = "I" if m.lastgroup == "initial" else "W"
-            gap = text[last : m.start()] if last >= 0 else "\n"
-            if not (runs and (gap in (" ", ", ") or _PARTICLE.fullmatch(gap))):
-                runs.append([])
-            role = "I" if kind == "I" else self.role(m[0])
-            runs[-1].append((m.start(), m.end(), role, gap))
-            last = m.end()
-        for run in runs:
-            if not any(r in ("g", "s", "gs") for _, _, r, _ in run):
-                continue
+        for whole in _RUN.finditer(text):
+            run, last = [], whole.start()
+            for m in _TOKEN.finditer(text, *whole.span()):
+                run.append((m.start(), m.end(), "I" if m.lastgroup == "initial" else self.role(m[0]), text[last : m.start()]))
+                last = m.end()
             for i in range(len(run)):
                 for j in range(i + 1, min(len(run), i + MOST_WORDS)):
                     inner = [run[k][3] for k in range(i + 1, j + 1)]
                     commas = sum(g == ", " for g in inner)
                     if commas > 1:
-                        continue
-                    roles = [r for _, _, r, _ in run[i : j + 1]]
+                        break
                     s, e = run[i][0], run[j][1]
-                    if not any("s" in r for r in roles) or not any("g" in r or r == "I" for r in roles):
-                        if commas or not self._half_known(text, run, i, j, roles):
-                            continue
-                    out[s, e, "name"] = Segment(s, e, "name", self._name_features(text, run, i, j, roles, inner, commas, lang))
+                    out[s, e, "name"] = Segment(s, e, "name", self._name_features(text, run, i, j, [r for _, _, r, _ in run[i : j + 1]], inner, commas, lang))
         return out
 
-    def _half_known(self, text, run, i, j, roles) -> bool:
-        """Whether one known word is enough: a given name before unknown ones after a title or cue, a surname after an unknown one after a title."""
-        left = _around(text, run[i][0], run[j][1])[0]
-        titled = bool(left) and left[-1].rstrip(".") in TITLES_FOLDED
-        if any(r == "?" and _SMALL.fullmatch(text[s:e]) for s, e, r, _ in run[i : j + 1]):
-            return False
-        if set(roles[1:]) == {"?"} and "g" in roles[0]:
-            return titled or not set(left[-2:]).isdisjoint(_CUE_FOLDED["name"])
-        return titled and j == i + 1 and roles[0] == "?" and "s" in roles[1]
-
     def _name_features(self, text, run, i, j, roles, inner, commas, lang) -> list[str]:
         s, e = run[i][0], run[j][1]
         left, right = _around(text, s, e)
@@ -209,11 +234,20 @@ class Model:
         pattern = "".join(c + ("," if commas and k == at - 1 else "") for k, c in enumerate(order))
         good = regex.fullmatch(r"[gI]{1,2}s{1,2}|s{1,2},[gI]{1,2}|sg", pattern) is not None
         f = ["name", "name good" if good else "name odd", "name initial" if "I" in order else "name full", f"name words {len(roles)}"]
-        f += ["name unknown"] if "?" in roles else []
-        f += ["name half known"] if not any("s" in r for r in roles) or not any("g" in r or r == "I" for r in roles) else []
         f += ["name particle"] if any(_PARTICLE.fullmatch(g) for g in inner) else []
         f += ["name comma"] if commas else []
-        f += ["name title"] if left and left[-1].rstrip(".") in TITLES_FOLDED else ["name cue"] if set(left[-2:]) & _CUE_FOLDED["name"] else []
+        cues = {fold(w) for w in _NEAR.findall(_FULL_STOP.split(text[max(0, s - 40) : s])[-1])[-2:]}
+        beside = "title" if left and left[-1].rstrip(".") in TITLES_FOLDED else "closing" if cues & _CUE_FOLDED["closing"] else "cue" if cues & _CUE_FOLDED["name"] else "line" if text[s - 1 : s] in ("", "\n") and text[e : e + 1] in ("", "\n") else "nothing"
+        f.append(f"name beside {beside}")
+        if "?" in roles:
+            known = set("".join(roles)) & set("gs")
+            f += [f"name unknown {'all' if not known else 'with ' + ''.join(sorted(known)) + (' first' if roles[0] != '?' else ' later')} beside {beside}", "name unknown"]
+            f += ["name of small words"] if any(r == "?" and _SMALL.fullmatch(text[a:z]) for a, z, r, _ in run[i : j + 1]) else []
+            f += ["name of title words"] if any(fold(text[a:z]).rstrip(".") in TITLES_FOLDED for a, z, _, _ in run[i : j + 1]) else []
+            f += ["name of usual words"] if any(r == "?" and fold(text[a:z]) in _NOT_FOLDED for a, z, r, _ in run[i : j + 1]) else []
+            f += ["name in capitals"] if all(text[a:z].isupper() for a, z, r, _ in run[i : j + 1]) else []
+        elif not any("s" in r for r in roles) or not any("g" in r or r == "I" for r in roles):
+            f.append("name one part only")
         body = (left and left[-1].rstrip(".") in BODIES_FOLDED) or (right and right[0].rstrip(".") in BODIES_FOLDED)
         f += ["name of a body"] if body else []
         f += ["name amp"] if (left and left[-1] == "&") or (right and right[0] == "&") else []
@@ -221,6 +255,8 @@ class Model:
         before, after = run[i - 1] if i else None, run[j + 1] if j + 1 < len(run) else None
         f += ["name cut left"] if before and run[i][3] == " " and before[2] in ("g", "s", "gs") else []
         f += ["name cut left comma"] if before and run[i][3] == ", " and before[2] in ("s", "gs") and not commas else []
+        f += ["name cut left unknown"] if before and run[i][3] == " " and before[2] == "?" and fold(text[before[0] : before[1]]) not in _NOT_FOLDED else []
+        f += ["name cut right unknown"] if after and after[3] == " " and after[2] == "?" else []
         f += ["name initial left"] if before and run[i][3] == " " and before[2] == "I" and fold(text[before[0] : before[1]]).rstrip(".") not in TITLES_FOLDED else []
         f += ["name cut right"] if after and after[3] != ", " and ("s" in after[2] or "g" in after[2]) else []
         f += ["name cut right comma"] if after and after[3] == ", " and ("g" in after[2] or after[2] == "I") and not commas and "g" not in "".join(order) else []
@@ -306,8 +342,7 @@ def _unmark(line: str) -> tuple[str, list[tuple[int, int, str]]]:
 
 #: Particles, also in capitals, which are no names.
 _SMALL = regex.compile(r"(?i:d[aeo]s?|del|du|des|l[ao]s?|les?|el|von|van|der|den|y|e)")
-_DIGIT = regex.compile(r"\d")
-_ATSIGN = regex.compile(r"@|[\[({<]\s*(?:at|arroba|a)\s*[\])}>]|\s(?:arroba|at)\s", regex.I)
+_ATSIGN = re.compile(r"@|[\[({<]\s*(?:at|arroba|a)\s*[\])}>]|\s(?:arroba|at)\s", re.I)
 _CUE_FOLDED = {k: {fold(w) for w in v} for k, v in _CUE.items()}
 TITLES_FOLDED, BODIES_FOLDED, _NOT_FOLDED = {fold(w) for w in TITLES}, {fold(w) for w in BODIES}, {fold(w) for w in NOT_NAMES}
 #: Names of the marked sentences, known to the model while it is trained.
@@ -325,48 +360,63 @@ def _listed(names: DataFrame) -> dict[str, str]:
     return out
 
 
-def _partners(text: str, names: dict[str, str]) -> Iterator[tuple[str, str, str]]:
-    """(word, role, partner) for capitalised words beside a known name."""
+def _pairs(text: str) -> Iterator[tuple[str, str, int]]:
+    """Capitalised words that stand together, folded, and how: 1 for a comma between them, 2 for one before, 4 for one after."""
     for m in _PAIR.finditer(text, overlapped=True):
-        a, b = fold(m["a"]), fold(m["b"])
-        comma = m["gap"] == ", "
-        ka, kb = (names.get(x) or (names.get(x.split("-")[0], "") if "-" in x else "") for x in (a, b))
-        for w, partner, role in ((b, ka, "s" if not comma else "g"), (a, kb, "g" if not comma else "s")):
-            other = a if w == b else b
-            if w in names or w in _NOT_FOLDED or len(w) < 3 or not partner:
-                continue
-            # given then surname; surname, given
-            fits = "g" in partner if role == "s" else "s" in partner
-            if fits and not (role == "s" and not comma and m["before"]) and not (role == "g" and not comma and m["after"]):
-                for part in w.split("-") if role == "s" else [w]:
-                    yield part, role, other
+        yield fold(m["a"]), fold(m["b"]), (m["gap"] == ", ") | 2 * bool(m["before"]) | 4 * bool(m["after"])
+
+
+def _partners(a: str, b: str, how: int, names: dict[str, str]) -> Iterator[tuple[str, str, str]]:
+    """(word, role, partner) for a capitalised word beside a known name."""
+    comma, before, after = how & 1, how & 2, how & 4
+    ka, kb = (names.get(x) or (names.get(x.split("-")[0], "") if "-" in x else "") for x in (a, b))
+    for w, other, partner, role in ((b, a, ka, "g" if comma else "s"), (a, b, kb, "s" if comma else "g")):
+        if not partner or w in names or w in _NOT_FOLDED or len(w) < 3:
+            continue
+        # given then surname; surname, given
+        fits = "g" in partner if role == "s" else "s" in partner
+        if fits and not (role == "s" and not comma and before) and not (role == "g" and not comma and after):
+            for part in w.split("-") if role == "s" else [w]:
+                yield part, role, other
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with how often they are written in capitals and in small letters (how = -1), and pairs of words."""
+    for b in batches:
+        words: dict[str, list[int]] = {}
+        pairs: set[tuple[str, str, int]] = set()
+        for t in b.column(0).to_pylist():
+            for w in _WRITTEN.findall(t):
+                words.setdefault(w, [0])[0] += 1
+            pairs.update(_pairs(t))
+        folded: dict[str, list[int]] = {}
+        for w, (n,) in words.items():
+            folded.setdefault(fold(w), [0, 0])[w[0].islower()] += n
+        rows = [(w, "", -1, c, l) for w, (c, l) in folded.items()] + [(*p, 0, 0) for p in pairs]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["a", "b", "how", "capital", "lower"])
 
 
 def lexicon(df: DataFrame, text: str, names: DataFrame) -> dict[str, str]:
-    """Folded words of person names with their roles: the list, grown from all texts of ``df`` until nothing is added."""
+    """Folded words of person names with their roles: the list, grown from all texts of ``df`` until nothing is added.
+
+    The texts are read once, for the pairs of capitalised words in them; the rounds go over the distinct pairs.
+    """
     known = _listed(names)
     source = spread(df.select(F.col(text)).where(F.col(text).isNotNull()))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[str, list[int]] = {}
-            for t in b.column(0).to_pylist():
-                for w in _WRITTEN.findall(t):
-                    seen.setdefault(fold(w), [0, 0])[w[0].islower()] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1)]], ["word", "capital", "lower"])
-
-    written = source.mapInArrow(count, "word string, capital bigint, lower bigint").groupBy("word").agg(F.sum("capital").alias("c"), F.sum("lower").alias("l"))
-    capital = durable(written.where(F.col("c") >= LEAST_CAPITAL * (F.col("c") + F.col("l"))).select("word"))
+    counted = source.mapInArrow(_counted, "a string, b string, how int, capital bigint, lower bigint").groupBy("a", "b", "how").agg(F.sum("capital").alias("c"), F.sum("lower").alias("l"))
+    counted = durable(counted.where((F.col("how") >= 0) | (F.col("c") >= LEAST_CAPITAL * (F.col("c") + F.col("l")))))
+    pairs, capital = counted.where("how >= 0").select("a", "b", "how"), counted.where("how < 0").select(F.col("a").alias("word"))
     while True:
         shared = df.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             have = shared.value
             for b in batches:
-                rows = list({x for t in b.column(0).to_pylist() for x in _partners(t, have)})
+                rows = list({x for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in _partners(*row, have)})
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["word", "role", "partner"])
 
-        met = source.mapInArrow(run, "word string, role string, partner string").groupBy("word", "role").agg(F.count_distinct("partner").alias("n")).where(F.col("n") >= LEAST_PARTNERS)
+        met = pairs.mapInArrow(run, "word string, role string, partner string").groupBy("word", "role").agg(F.count_distinct("partner").alias("n")).where(F.col("n") >= LEAST_PARTNERS)
         # a word of two roles has the one with more partners
         new = {}
         for r in sorted(bounded(met.join(capital, "word").select("word", "role", "n"), MOST_NAMES, "names in texts"), key=lambda r: (-r["n"], r["word"], r["role"])):
