@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazario.common import durable, table
+from plazario.common import broadcast_if_small, durable, table
 from plazario.llm import history, mixing, names, near, pii, places, plain, residue, tokens
 
 
@@ -27,7 +27,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every posting with a place as typed, the entry it means and its bucket; unmatched values keep place 0 and no bucket."""
     read = places.mapped(table(spark, sf_dir, "postings", "job_id", "location_raw"), table(spark, sf_dir, "places"), "job_id", "location_raw")
-    entries = F.broadcast(table(spark, sf_dir, "places", "place_id", "place_name", "location_bucket"))  # as many rows as the reference list, checked above
+    entries = broadcast_if_small(table(spark, sf_dir, "places", "place_id", "place_name", "location_bucket"), places.MOST_ENTRIES)
     return read.where("place_id is not null").join(entries, "place_id", "left").select(F.col("key").alias("job_id"), "place_id", "place_name", "location_bucket")
 
 

@@ -1,11 +1,12 @@
 """Inverted lists of records with their signatures, and the pairs within a list that agree enough.
 
-A signature has one byte for each of POSITIONS hash functions: a byte of the smallest value that the function gives over the record's shingles, so two records agree at
+A signature has one byte for each hash function: a byte of the smallest value that the function gives over the record's shingles, so two records agree at
 a position with probability J + (1 - J) / 256, where J is the share of their shingles in both.  What a list carries of a record are two words that the tally of half-bytes
 needs for every 16 positions, one word with the other halves of PAIRED bytes, and one word of the caller's.
 
 Lists travel as blobs: a batch of records becomes one blob for each list it touches, so a shuffle moves 8 bytes a word and nothing else.  Within a list every two records are compared if it is
-short; in a long one those that share one of eight pairs of bytes, so the work on a list does not grow with its square.
+short; in a long one those that share one of eight pairs of bytes, so the work on a list does not grow with its square.  Which bytes these are differs between lists (VARIANTS ways):
+records that share no pair in one list may well do in the next.
 A list expected to hold more than BLOCK records is dealt out: its records fall into blocks, and every two blocks meet in a task of their own.
 """
 
@@ -13,15 +14,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Positions that lists are keyed by, and those whose whole bytes divide a long list.
-ANCHORS, PAIRED = 16, 16
+#: Positions that lists are keyed by, those whose whole bytes divide a long list, and ways to choose them.
+ANCHORS, PAIRED, VARIANTS = 16, 16, 16
 #: Records of a list that are compared without division, at first and within a division.
-SHORT, DIVIDED = 48, 1024
+SHORT, DIVIDED = 48, 4096
 #: Records of a list in one task.
 BLOCK = 1 << 20
 #: Pairs compared at a time.
@@ -46,12 +48,28 @@ class Form:
     def positions(self) -> int:
         return 16 * self.words
 
+    @cached_property
+    def chosen(self) -> np.ndarray:
+        """Positions of each variant."""
+        return chosen(self.positions)
+
     @property
     def width(self) -> int:
         """Words of an entry: half-bytes, paired halves, the caller's."""
         return self.words + 2
 
 
+def chosen(positions: int) -> np.ndarray:
+    """The PAIRED positions of each variant, neighbours being pairs: the positions beyond ANCHORS in disjoint parts, each paired in several ways."""
+    free = np.arange(ANCHORS, positions)
+    parts = len(free) // PAIRED
+    out = []
+    for v in range(VARIANTS):
+        part, shift = free[v % parts :: parts][:PAIRED], v // parts
+        out.append(np.stack([part[: PAIRED // 2], np.roll(part[PAIRED // 2 :], shift)], axis=1).ravel())
+    return np.array(out)
+
+
 def multipliers(positions: int) -> np.ndarray:
     """One odd number for each hash function."""
     x = np.arange(1, positions + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -80,17 +98,28 @@ def signatures(runs: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.nda
     return ((least * _PRIME) >> np.uint32(24)).astype(np.uint8)
 
 
-def entries(signatures: np.ndarray, own: np.ndarray, form: Form) -> np.ndarray:
-    """One row of ``form.width`` words for each signature."""
+def entries(signatures: np.ndarray, own: np.ndarray, variant: np.ndarray, form: Form) -> np.ndarray:
+    """One row of ``form.width`` words for each signature, with the ``variant`` of the list it goes to."""
     out = np.empty((len(signatures), form.width), np.uint64)
     half = signatures & 15
     out[:, : form.words] = (half[:, ::2] | half[:, 1::2] << 4).view(np.uint64)
-    high = signatures[:, ANCHORS : ANCHORS + PAIRED] >> 4
+    high = np.take_along_axis(signatures, form.chosen[variant], axis=1) >> 4
     out[:, form.words] = np.ascontiguousarray(high[:, ::2] | high[:, 1::2] << 4).view(np.uint64)[:, 0]
     out[:, form.words + 1] = own
     return out
 
 
+def paired(columns: list[np.ndarray], variant: np.ndarray, form: Form) -> np.ndarray:
+    """The pairs of whole bytes of entries, one column for each pair."""
+    halves = np.ascontiguousarray(np.stack(columns[: form.words], axis=1)).view(np.uint8)
+    at = form.chosen[variant]
+    low = np.take_along_axis(halves, at // 2, axis=1) >> (4 * (at % 2)).astype(np.uint8) & 15
+    high = columns[form.words][:, None].view(np.uint8)
+    low[:, ::2] |= (high & 15) << 4
+    low[:, 1::2] |= high >> 4 << 4
+    return np.ascontiguousarray(low).view(np.uint16)
+
+
 def blobs(lists: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     """(list, blob) of entries and the lists they belong to."""
     order = np.argsort(lists, kind="stable")
@@ -157,16 +186,9 @@ def _all(rows: np.ndarray, start: np.ndarray, size: np.ndarray, late: np.ndarray
         at = to
 
 
-def meet(keys: np.ndarray, columns: list[np.ndarray], form: Form, late: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def meet(keys: np.ndarray, variant: np.ndarray, columns: list[np.ndarray], form: Form, late: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, tally) of records of one list (``keys``, sorted) that agree enough, j before i; a pair may come out several times."""
-    halves = np.ascontiguousarray(np.stack(columns[: form.words], axis=1)).view(np.uint8)
-    low = np.empty((len(keys), PAIRED), np.uint8)
-    for p in range(PAIRED):
-        low[:, p] = halves[:, (ANCHORS + p) // 2] >> (4 * ((ANCHORS + p) % 2)) & 15
-    high = columns[form.words][:, None].view(np.uint8)
-    low[:, ::2] |= (high & 15) << 4
-    low[:, 1::2] |= high >> 4 << 4
-    pairs = low.view(np.uint16)
+    pairs = paired(columns, variant, form)
 
     def within(keys: np.ndarray, rows: np.ndarray, least: int, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         start, size = _runs(keys)

@@ -36,9 +36,10 @@ _TIMES = L.multipliers(FORM.positions)
 
 def _index_blobs(signatures: np.ndarray, ids: np.ndarray, hot: dict[int, int]) -> pa.RecordBatch:
     """The index of distinct texts: an entry in the list of each anchor position and its byte."""
-    rows = L.entries(signatures, ids.view(np.uint64), FORM)
-    lists = ((np.arange(L.ANCHORS) << 8)[None, :] | signatures[:, : L.ANCHORS]).ravel()
-    return L.blobs(*L.dealt(lists, np.repeat(rows, L.ANCHORS, axis=0), np.repeat(S.mix(ids.view(np.uint64)), L.ANCHORS), hot))
+    anchor = np.tile(np.arange(L.ANCHORS), len(ids))
+    rows = L.entries(np.repeat(signatures, L.ANCHORS, axis=0), np.repeat(ids.view(np.uint64), L.ANCHORS), anchor, FORM)
+    lists = anchor << 8 | signatures[:, : L.ANCHORS].ravel()
+    return L.blobs(*L.dealt(lists, rows, np.repeat(S.mix(ids.view(np.uint64)), L.ANCHORS), hot))
 
 
 def indexed(texts: DataFrame, title: str, body: str, hot: dict[int, int]) -> DataFrame:
@@ -75,7 +76,7 @@ def meetings(index: DataFrame) -> DataFrame:
         kept = np.concatenate([[True], (lists[1:] != lists[:-1]) | (ids[1:] != ids[:-1])])
         lists, ids, rows = lists[kept], ids[kept], rows[order[kept]]
         columns = [np.ascontiguousarray(rows[:, k]) for k in range(FORM.words + 1)]
-        for i, j, _ in L.meet(lists, columns, FORM):
+        for i, j, _ in L.meet(lists, (lists & 0xFFFFFF) >> 8, columns, FORM):
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["a", "b"])
 
