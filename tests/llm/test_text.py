@@ -129,7 +129,8 @@ def test_chunks_are_local():
 
 
 def index():
-    return residue.Index({}, 1000)
+    usual = "de la el los no en que por para con a un una es este esta the is to of you your this it and or in will not be was".split()
+    return residue.Index(dict.fromkeys(usual, 600), 1000)
 
 
 @pytest.mark.parametrize(
@@ -162,6 +163,26 @@ def test_dummy_phrase_stands_apart():
         assert index().label(text) is None, text
 
 
+def test_wordings_that_no_exemplar_has():
+    """Every second exemplar is held out; nine tenths of the held-out ones are known by the others."""
+    held = {label: xs[1::2] for label, xs in residue.EXEMPLARS.items() if label in ("message", "scripts")}
+    kept = {label: xs[::2] if label in held else xs for label, xs in residue.EXEMPLARS.items()}
+    half = residue.Index(index().frequency, 1000, exemplars=kept)
+    texts = [x.capitalize() + "." for xs in held.values() for x in xs]
+    missed = [x for x in texts if half.label(x) is None]
+    assert len(missed) <= 0.1 * len(texts), missed
+
+
+def test_filler_of_a_corpus_is_learnt(spark):
+    odd = "Brumosa ipsum lorem velda amet carcina brumosa lorem velda ipsum"
+    rows = [(i, odd) for i in range(4)] + [(10 + i, "Aquí no se presenta nada con lorem ipsum, trabajamos con contenido real.") for i in range(9)] + [(30, "Velda brumosa carcina velda brumosa carcina velda brumosa"), (31, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    counts, n, learnt = residue.frequencies(df, "t")
+    assert n == 14 and {"brumosa", "velda", "carcina"} <= set(learnt) and not {"presenta", "trabajamos", "nada"} & set(learnt)
+    got = {r["k"]: r["residue"] for r in residue.labelled(df, "k", "t").collect()}
+    assert got[0] == got[30] == "filler" and got[10] is None and got[31] is None
+
+
 def test_residue_deep_in_a_long_text():
     body = "Trabajarás en el proyecto junto a personas de ingeniería y datos. " * 300
     assert index().label(body + " ${ciudad} " + body) == "placeholder"
