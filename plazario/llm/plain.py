@@ -1,11 +1,9 @@
 """One consistent form for text that looks the same (compiled longest-match transducer).
 
-The mapping is built once, by rule, from the Unicode database: decomposed accents to composed letters, full and
-half width to ordinary width, every kind of blank to the ordinary space, hyphen variants to the hyphen, ligatures and
-single-character numerals to ordinary letters and digits, invisible characters to nothing.  Its keys are checked for
-conflicts (two results for one key, a result that would be rewritten again) and compiled into a trie whose longest
-match is taken at every grapheme cluster, so a text is rewritten in one pass.  Look-alike letters depend on the word
-they stand in: the same pass collects the scripts of the word and maps the minority's look-alikes when it ends.
+The mapping is built once, by rule, from the Unicode database: full and half width to ordinary width, every kind of blank to the ordinary space, hyphen variants to the hyphen, ligatures and
+single-character numerals to ordinary letters and digits, invisible characters to nothing, and clusters of a character, in any of these forms, and marks to the composed letter.  Keys are checked for
+conflicts (two results for one key, two keys that compete for a character, a result that would be rewritten again) and compiled into a trie whose longest match is taken at every place, so
+a text is rewritten in one pass.  Look-alike letters depend on the word they stand in: the same pass collects the scripts of the word and maps the minority's look-alikes when it ends.
 
 Defined results: null stays null; an empty text stays empty; a text of invisible characters only becomes empty; a word wholly in
 one script, dashes, middle dots and doubled ordinary spaces stay as they are.
@@ -75,21 +73,103 @@ def single_map() -> dict[str, str]:
     return out
 
 
+def compositions() -> dict[tuple[str, str], str]:
+    """Letter and mark (or two parts of a Korean syllable) to the letter they compose, by rule from the Unicode database."""
+    out = {}
+    for code in (*range(0x80, 0x3400), *range(0xFB1D, 0xFB50), *range(0x11000, 0x11A00)):
+        c = chr(code)
+        parts = unicodedata.decomposition(c)
+        if parts and parts[0] != "<" and " " in parts:
+            a, b = (chr(int(x, 16)) for x in parts.split())
+            if unicodedata.normalize("NFC", a + b) == c:
+                out[a, b] = c
+    for lead in range(0x1100, 0x1113):
+        for vowel in range(0x1161, 0x1176):
+            syllable = chr(0xAC00 + ((lead - 0x1100) * 21 + vowel - 0x1161) * 28)
+            out[chr(lead), chr(vowel)] = syllable
+            for tail in range(0x11A8, 0x11C3):
+                out[syllable, chr(tail)] = chr(ord(syllable) + tail - 0x11A7)
+    return out
+
+
+def mapping() -> dict[str, str]:
+    """Every key of the transducer: single characters, characters that Unicode writes in another way, and clusters of a character, in any of its forms, and marks that compose with it."""
+    out = dict(single_map())
+    for a, b in ((0x80, 0x3400), (0xF900, 0xFE00), (0x1D100, 0x1D200), (0x2F800, 0x2FA20)):
+        for code in range(a, b):
+            if chr(code) not in out and (c := unicodedata.normalize("NFC", chr(code))) != chr(code):
+                out[chr(code)] = c
+    after: dict[str, list[tuple[str, str]]] = {}
+    pairs = compositions()
+    for (a, b), c in pairs.items():
+        after.setdefault(a, []).append((b, c))
+    for (a, _), c in pairs.items():  # marks in another order than Unicode's
+        for mark, _ in after[a] if a < "\u1100" else ():
+            if (c, mark) not in pairs and len(r := unicodedata.normalize("NFC", c + mark)) == 1:
+                after.setdefault(c, []).append((mark, r))
+    marks = {}
+    for c, plain_form in out.items():
+        if len(plain_form) == 1:
+            marks.setdefault(plain_form, []).append(c)
+
+    def add(key: str, result: str) -> None:
+        # each mark in each of its forms; results that compose further in turn
+        for mark, composed in after.get(result[-1:], ()):
+            composed = out.get(composed, composed)
+            for form in (mark, *(() if "\u1100" <= mark < "\u1200" else marks.get(mark, ()))):
+                longer = key + form
+                if out.setdefault(longer, result[:-1] + composed) != result[:-1] + composed:
+                    raise ValueError(f"two results for {longer!r}")
+                add(longer, result[:-1] + composed)
+
+    for c, r in [*out.items(), *((c, c) for c in after if c not in out)]:
+        if len(c) == 1 and not (c != r and "\u1100" <= r < "\u1200"):
+            add(c, r)
+    return out
+
+
 class Trie:
-    """Longest match over code points; a node is a dict, its result sits under the empty string."""
+    """Longest match over code points; a node is a dict, its result sits under the empty string.
+
+    Characters that map to nothing are stepped over inside a key, so a mark finds its letter across them.
+    """
 
-    def __init__(self, mapping: dict[str, str]):
+    def __init__(self, keys: dict[str, str]):
         self.root: dict = {}
-        for key, value in mapping.items():
+        self.nothing = frozenset(k for k, r in keys.items() if not r and len(k) == 1)
+        for key, value in keys.items():
             node = self.root
             for c in key:
                 node = node.setdefault(c, {})
             if node.setdefault("", value) != value:
                 raise ValueError(f"two results for {key!r}")
+        self._check(keys)
+
+    def _check(self, keys: dict[str, str]) -> None:
+        """No two keys may compete for a character, and no result may be rewritten again."""
+        begin = {k[0] for k in keys if len(k) > 1}
+        for k in keys:
+            if not begin.isdisjoint(k[1:]):
+                raise ValueError(f"{k!r} overlaps the beginning of another key")
+        for k, r in keys.items():
+            at = 0
+            while at < len(r):
+                hit = self.match(r, at)
+                if hit is not None and r[at : hit[0]] != hit[1]:
+                    raise ValueError(f"the result of {k!r} is rewritten again")
+                at = hit[0] if hit else at + 1
 
     def match(self, text: str, at: int) -> tuple[int, str] | None:
+        """End and result of the longest key at a place."""
         node, best, i = self.root, None, at
-        while i < len(text) and (node := node.get(text[i])) is not None:
+        while i < len(text):
+            below = node.get(text[i])
+            if below is None:
+                if i > at and text[i] in self.nothing:
+                    i += 1
+                    continue
+                break
+            node = below
             i += 1
             if "" in node:
                 best = i, node[""]
@@ -98,12 +178,9 @@ class Trie:
 
 @cache
 def transducer() -> Trie:
-    return Trie(single_map())
+    return Trie(mapping())
 
 
-#: Marks that compose with a base letter; a cluster with one is composed as a whole.
-_CLUSTER = regex.compile(r"\X")
-_MARKED = regex.compile(r"\p{M}")
 #: Texts of these characters only are plain already.
 _FAST = regex.compile(r"[\x20-\x7E¡-¬®-±´-¸º»¿-ıĴ-ľŁ-ňŊ-ž–—\n\r\t]*")
 _SCRIPTS = (("Latn", regex.compile(r"\p{Latin}")), ("Cyrl", regex.compile(r"\p{Cyrillic}")), ("Grek", regex.compile(r"\p{Greek}")), ("Cher", regex.compile(r"\p{Cherokee}")), ("Armn", regex.compile(r"\p{Armenian}")), ("othr", regex.compile(r"\p{L}")))
@@ -127,57 +204,58 @@ def lookalikes() -> dict[str, dict[str, str]]:
     return maps
 
 
-def _word(letters: list[str]) -> str:
-    """A word in one script where look-alikes allow it, the script of most of its letters first (Latin on a tie); else as it is."""
+def _word(letters: list[str]) -> tuple[str, bool]:
+    """A word in one script where look-alikes allow it, the script of most of its letters first (Latin on a tie), else as it is; and whether it still mixes scripts."""
     count: dict[str, int] = {}
     for c in letters:
         if s := script(c):
             count[s] = count.get(s, 0) + 1
     if len(count) < 2:
-        return "".join(letters)
+        return "".join(letters), False
     maps = lookalikes()
     order = sorted(count, key=lambda s: (-count[s], s != "Latn"))
     for target in order:
         table = maps.get(target, {})
         if all(script(c) in ("", target) or c in table for c in letters):
-            return "".join(c if script(c) in ("", target) else table[c] for c in letters)
-    return "".join(letters)
+            return "".join(c if script(c) in ("", target) else table[c] for c in letters), False
+    return "".join(letters), True
 
 
-def plain(text: str | None) -> str | None:
-    """The plain form of a text."""
-    if text is None or _FAST.fullmatch(text):
-        return text
-    trie, out, word = transducer(), [], []
-    for m in _CLUSTER.finditer(text):
-        cluster, i, made = m[0], 0, []
-        while i < len(cluster):
-            hit = trie.match(cluster, i)
-            if hit:
-                made.append(hit[1])
-                i = hit[0]
-            else:
-                made.append(cluster[i])
-                i += 1
-        piece = "".join(made)
-        if _MARKED.search(piece):
-            piece = unicodedata.normalize("NFC", piece)
+@cache
+def _in_word(c: str) -> bool:
+    return c.isalpha() or c.isdigit() or unicodedata.category(c)[0] == "M"
+
+
+def rewritten(text: str) -> tuple[str, bool]:
+    """The plain form of a text and whether a word of it mixes scripts that no look-alike resolves, in one pass."""
+    match, out, word, at, mixed = transducer().match, [], [], 0, False
+    while at < len(text):
+        hit = match(text, at)
+        at, piece = hit if hit else (at + 1, text[at])
         for c in piece:
-            if c.isalpha() or c.isdigit() or unicodedata.category(c)[0] == "M":
+            if _in_word(c):
                 word.append(c)
             else:
-                out += [_word(word), c]
-                word = []
-    out.append(_word(word))
-    return unicodedata.normalize("NFC", "".join(out))
+                if word:
+                    done, unsolved = _word(word)
+                    out.append(done)
+                    mixed |= unsolved
+                    word = []
+                out.append(c)
+    done, unsolved = _word(word)
+    return "".join([*out, done]), mixed | unsolved
 
 
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+def plain(text: str | None) -> str | None:
+    """The plain form of a text."""
+    return text if text is None or _FAST.fullmatch(text) else rewritten(text)[0]
 
 
-def mixed(text: str | None) -> bool:
-    """Whether a word of the text mixes letters of several scripts."""
-    return text is not None and any(len({s for c in set(w[0]) if (s := script(c))}) > 1 for w in _WORD.finditer(text))
+@F.pandas_udf(T.StructType([T.StructField("plain", T.StringType()), T.StructField("mixed", T.BooleanType())]))
+def _rewritten(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        done = [(None, None) if t is None else rewritten(t) for t in s]
+        yield pd.DataFrame({"plain": [p for p, _ in done], "mixed": [m for _, m in done]})
 
 
 @F.pandas_udf(T.StringType())
@@ -186,12 +264,6 @@ def _plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(plain, na_action="ignore")
 
 
-@F.pandas_udf(T.BooleanType())
-def _mixed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(mixed)
-
-
 #: Java pattern of the texts that are plain for certain and need not leave the JVM.
 _ORDINARY = r"^[\x20-\x7E¡-¬®-±´-¸º»¿-ıĴ-ľŁ-ňŊ-ž–—\n\r\t]*$"
 
@@ -218,4 +290,5 @@ def not_plain(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """
     fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw")) for c in columns])
     rows = df.select(F.col(key), F.explode(fields).alias("f")).select(key, "f.field_name", "f.raw").where(needs_look("raw"))
-    return rows.withColumns({"plain": _plain("raw"), "mixed": _mixed("raw")}).where((F.col("raw") != F.col("plain")) | F.col("mixed")).drop("mixed")
+    done = rows.withColumn("done", _rewritten("raw")).select(key, "field_name", "raw", "done.plain", "done.mixed")
+    return done.where((F.col("raw") != F.col("plain")) | F.col("mixed")).drop("mixed")

@@ -32,9 +32,21 @@ def test_plain_is_idempotent(s):
 
 
 def test_mapping_is_checked_and_final():
-    single = plain.single_map()
-    assert not any(c in single for r in single.values() for c in r)
-    assert plain.Trie({"ab": "x", "a": "y"}).match("abc", 0) == (2, "x")
+    keys = plain.mapping()
+    assert sum(len(k) > 1 for k in keys) > 5000 and keys["e\u0301"] == keys["ｅ\u0301"] == "é" and keys["e\u0302\u0323"] == keys["e\u0323\u0302"] == "ệ" and keys["ｶﾞ"] == "ガ"
+    trie = plain.Trie({"ab": "x", "a": "y", "\u200b": ""})
+    assert trie.match("abc", 0) == (2, "x") and trie.match("a\u200bb", 0) == (3, "x") and trie.match("a\u200bc", 0) == (1, "y")
+    for wrong in ({"ab": "x", "bc": "y"}, {"a": "b", "b": "c"}):
+        with pytest.raises(ValueError):
+            plain.Trie(wrong)
+
+
+@given(st.text(st.characters(categories=["Lu", "Ll", "Mn"], max_codepoint=0x24F), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_accents_are_composed_as_unicode_says(s):
+    want = unicodedata.normalize("NFC", s)
+    if plain.plain(want) == want:
+        assert plain.plain(unicodedata.normalize("NFD", s)) == want
 
 
 def test_not_plain(spark):
