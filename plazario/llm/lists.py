@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Positions that lists are keyed by, those whose whole bytes divide a long list, and ways to choose them.
-ANCHORS, PAIRED, VARIANTS = 16, 16, 16
+ANCHORS, PAIRED, VARIANTS = 14, 16, 16
 #: Records of a list that are compared without division, at first and within a division.
 SHORT, DIVIDED = 48, 4096
 #: Records of a list in one task.

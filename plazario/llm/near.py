@@ -5,7 +5,7 @@ within a list the positions that two texts share are tallied, and pairs below th
 themselves, so no wrong pair comes out.
 
 What the minimum guarantees: a pair at J = 1/2 agrees at each position with probability 1/2, so it misses all ANCHORS lists, or all divisions of those that are long, or the tally, with
-probability about 0.0002; at J = 0.55 below 0.00003.  It is the same for a collection of any size.  Deterministic minima (prefixes of rare shingles) were measured and put aside, see README.
+probability about 0.0005; at J = 0.55 below 0.0002.  It is the same for a collection of any size.  Deterministic minima (prefixes of rare shingles) were measured and put aside, see README.
 
 Texts are the same if 128 bits of their word sequences are; the copies of a text are one text through all of this and are put back at the end.
 """
@@ -25,7 +25,7 @@ from plazario.llm import shingles as S
 from plazario.llm.sieve import may_hold, sieve
 from plazario.operators.pairing import looked_up, sliced
 
-FORM = L.Form(words=5, least=26)
+FORM = L.Form(words=7, least=41)
 #: Words that a description needs.
 LEAST_WORDS = 40
 THRESHOLD = 0.5
