@@ -440,9 +440,9 @@ def unseen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select d.seq, coalesce(nullif(p.url, ''), d.url) as url, p.job_id is null as missing from deliveries d left join postings p on d.job_id = p.job_id")
 def detail_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "deliveries").select("seq", "job_id", F.col("url").alias("own"), F.array().cast("array<string>").alias("parse_warnings"))
+    d = table(spark, sf_dir, "deliveries").select("seq", "job_id", "url", F.array().cast("array<string>").alias("parse_warnings"))
     over = pages.overlay(d, table(spark, sf_dir, "postings").select("job_id", "url", F.array().cast("array<string>").alias("parse_warnings")))
-    return over.select("seq", F.coalesce(F.nullif("url", F.lit("")), "own").alias("url"), F.array_contains("parse_warnings", "detail not found").alias("missing"))
+    return over.select("seq", "url", F.array_contains("parse_warnings", "detail not found").alias("missing"))
 
 
 @query("select max(run_id) as run_id from deliveries")

@@ -50,7 +50,7 @@ class Node:
         groups = _parsed(selector)
         return [n for n in self.walk() if any(_fits(n, steps) for steps in groups)]
 
-    def first(self, selectors: list[str]) -> Node | None:
+    def first(self, selectors: list[str] | tuple[str, ...]) -> Node | None:
         """The first hit of the first selector that has one."""
         for s in selectors:
             groups = _parsed(s)

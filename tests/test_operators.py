@@ -97,17 +97,43 @@ SESSION_PAGE = """<!-- c --><ul><li class="scaffold-layout__list-item" data-occl
 <span aria-hidden='true'>UX  Designer</span></a><div class="artdeco-entity-lockup__subtitle">Vela</div><a href="/company/vela/?trk=1">v</a><img data-delayed-url="https://i/x.png" src="data:,"></div></li></ul>"""
 
 
-def test_session_page():
-    (card,) = pages.cards(SESSION_PAGE, pages.SESSION)
-    assert (card["job_id"], card["title"], card["company"], card["company_url"], card["company_logo_url"]) == ("12345678", "UX Designer", "Vela", "/company/vela/", "https://i/x.png")
-    assert pages.cards(SESSION_PAGE, pages.PUBLIC) == [] and pages.cards(None) == [] and pages.cards("<div <<< >") == []
+def read(spark, html, how, layout):
+    return [r.asDict(recursive=True) for r in how(spark.createDataFrame([(1, html)], "k int, html string"), "k", "html", layout).collect()]
 
 
-def test_public_detail():
+def test_session_page(spark):
+    (card,) = read(spark, SESSION_PAGE, pages.extract_cards, pages.SESSION)
+    assert (card["job_id"], card["title"], card["company"], card["company_url"], card["company_logo_url"]) == ("12345678", "UX Designer", "Vela", "/company/vela/", "https://i/x.png") and card["parse_warnings"] == []
+    assert read(spark, SESSION_PAGE, pages.extract_cards, pages.PUBLIC) == read(spark, None, pages.extract_cards, pages.PUBLIC) == read(spark, "<div <<< >", pages.extract_cards, pages.SESSION) == []
+
+
+def test_loose_items_and_a_public_page_in_a_session(spark):
+    html = "<ul><li class='base-card-x' data-entity-urn='urn:x:777001'><a href='/jobs/view/ux-777001'>UX</a></li><li><a href='/jobs/view/777002/'>no mark</a></li><li data-entity-urn='u:1'>no link</li></ul>"
+    (card,) = read(spark, html, pages.extract_cards, pages.PUBLIC)
+    assert (card["job_id"], card["title"], card["parse_warnings"]) == ("777001", "UX", ["company not found"])
+    (again,) = read(spark, html, pages.extract_cards, pages.SESSION)
+    assert again["parse_warnings"] == ["company not found", pages.SESSION_WARNING]
+
+
+def test_public_detail(spark):
     html = "<div class='description__text'>Hola <b>mundo</b><script>x</script></div><ul><li class='description__job-criteria-item'><h3>Sector</h3><span>Banca, Seguros y Retail</span></li><li class='description__job-criteria-item'><h3>Nivel de antigüedad</h3><span>Prácticas</span></li></ul><a href='/company/vela?x'>v</a>"
-    d = pages.detail(html)
-    assert d["description"] == "Hola mundo" and d["li_industries"] == ["Banca", "Seguros", "Retail"] and d["li_seniority_field"] == "Prácticas" and d["company_slug"] == "vela"
-    assert pages.detail("")["parse_warnings"] == ["description not found"]
+    (d,) = read(spark, html, pages.extract_details, pages.PUBLIC)
+    assert d["description"] == "Hola mundo" and d["li_industries"] == ["Banca", "Seguros", "Retail"] and d["li_seniority_field"] == "Prácticas" and d["company_slug"] == "vela" and d["criteria"]["sector"] == "Banca, Seguros y Retail"
+    assert read(spark, "", pages.extract_details, pages.PUBLIC)[0]["parse_warnings"] == ["description not found"]
+
+
+def test_session_detail(spark):
+    html = "<div id='job-details'>Texto</div><span class='job-details-jobs-unified-top-card__job-insight'>Jornada · Nivel inicial</span><span class='jobs-unified-top-card__job-insight'>Sectores: Banca; Retail</span>"
+    (d,) = read(spark, html, pages.extract_details, pages.SESSION)
+    assert (d["description"], d["li_seniority_field"], d["li_industries"]) == ("Texto", "Nivel inicial", ["Banca", "Retail"])
+
+
+def test_overlay_takes_only_what_holds_something(spark):
+    cards = spark.createDataFrame([("1", "own", ["a"], ["w"]), ("2", "own", ["a"], [])], "job_id string, title string, li_industries array<string>, parse_warnings array<string>")
+    details = spark.createDataFrame([("1", "", [], "text", ["d"])], "job_id string, title string, li_industries array<string>, description string, parse_warnings array<string>")
+    got = {r["job_id"]: r.asDict() for r in pages.overlay(cards, details).collect()}
+    assert (got["1"]["title"], got["1"]["li_industries"], got["1"]["description"], got["1"]["parse_warnings"]) == ("own", ["a"], "text", ["w", "d"])
+    assert got["2"]["parse_warnings"] == ["detail not found"] and got["2"]["description"] is None
 
 
 def test_recorded_pages(spark, tmp_path):
