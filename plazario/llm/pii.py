@@ -6,7 +6,7 @@ segments that do not overlap.  The weights maximise the conditional likelihood o
 over the same segments); training takes a moment on the driver and the weights, some hundred numbers, are broadcast.
 
 Names of persons need to know names.  A given list is only a beginning: the lexicon grows by counting, over all texts, the capitalised words that stand
-beside known names with several different partners and are not also written in lower case.  It grows until no word is added; a round that
+beside known names with several different partners, and there in a good part of all their places, and are not also written in lower case.  It grows until no word is added; a round that
 would add more than MOST_NAMES is refused.
 
 Defined results: null, empty and blank texts have no items; texts of any length are read whole; repeated items come out once for every place.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,8 @@ from plazario.common import bounded, durable, spread
 from plazario.llm.pii_examples import EXAMPLES
 
 KINDS = ("email", "phone", "ident", "address", "name")
-#: Words that a round may add to the name lexicon (more are refused, none is left out), and partners and share of capitals that a word needs.
-MOST_NAMES, LEAST_PARTNERS, LEAST_CAPITAL = 1_000_000, 2, 0.9
+#: Words that a round may add to the name lexicon (more are refused, none is left out); what a word needs: partners, share of capitals, share of its places beside a known name.
+MOST_NAMES, LEAST_PARTNERS, LEAST_CAPITAL, LEAST_BESIDE = 1_000_000, 2, 0.9, 0.3
 #: Rows that a list of names may have.
 MOST_LISTED = 200_000
 #: Longest name candidate in words.
@@ -237,7 +238,7 @@ class Model:
         f += ["name particle"] if any(_PARTICLE.fullmatch(g) for g in inner) else []
         f += ["name comma"] if commas else []
         cues = {fold(w) for w in _NEAR.findall(_FULL_STOP.split(text[max(0, s - 40) : s])[-1])[-2:]}
-        beside = "title" if left and left[-1].rstrip(".") in TITLES_FOLDED else "closing" if cues & _CUE_FOLDED["closing"] else "cue" if cues & _CUE_FOLDED["name"] else "line" if text[s - 1 : s] in ("", "\n") and text[e : e + 1] in ("", "\n") else "nothing"
+        beside = "title" if left and left[-1].rstrip(".") in TITLES_FOLDED and "\n" not in text[max(0, s - 3) : s] else "closing" if cues & _CUE_FOLDED["closing"] else "cue" if cues & _CUE_FOLDED["name"] else "line" if text[s - 1 : s] in ("", "\n") and text[e : e + 1] in ("", "\n") else "nothing"
         f.append(f"name beside {beside}")
         if "?" in roles:
             known = set("".join(roles)) & set("gs")
@@ -384,7 +385,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with how often they are written in capitals and in small letters (how = -1), and pairs of words."""
     for b in batches:
         words: dict[str, list[int]] = {}
-        pairs: set[tuple[str, str, int]] = set()
+        pairs: Counter[tuple[str, str, int]] = Counter()
         for t in b.column(0).to_pylist():
             for w in _WRITTEN.findall(t):
                 words.setdefault(w, [0])[0] += 1
@@ -392,7 +393,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded: dict[str, list[int]] = {}
         for w, (n,) in words.items():
             folded.setdefault(fold(w), [0, 0])[w[0].islower()] += n
-        rows = [(w, "", -1, c, l) for w, (c, l) in folded.items()] + [(*p, 0, 0) for p in pairs]
+        rows = [(w, "", -1, c, l) for w, (c, l) in folded.items()] + [(*p, n, 0) for p, n in pairs.items()]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["a", "b", "how", "capital", "lower"])
 
@@ -406,20 +407,22 @@ def lexicon(df: DataFrame, text: str, names: DataFrame) -> dict[str, str]:
     source = spread(df.select(F.col(text)).where(F.col(text).isNotNull()))
     counted = source.mapInArrow(_counted, "a string, b string, how int, capital bigint, lower bigint").groupBy("a", "b", "how").agg(F.sum("capital").alias("c"), F.sum("lower").alias("l"))
     counted = durable(counted.where((F.col("how") >= 0) | (F.col("c") >= LEAST_CAPITAL * (F.col("c") + F.col("l")))))
-    pairs, capital = counted.where("how >= 0").select("a", "b", "how"), counted.where("how < 0").select(F.col("a").alias("word"))
+    pairs, capital = counted.where("how >= 0").select("a", "b", "how", "c"), counted.where("how < 0").select(F.col("a").alias("word"), F.col("c").alias("places"))
     while True:
         shared = df.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             have = shared.value
             for b in batches:
-                rows = list({x for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in _partners(*row, have)})
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["word", "role", "partner"])
+                rows = [(*x, n) for a, z, how, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in set(_partners(a, z, how, have))]
+                columns = [pa.array([r[k] for r in rows], pa.string() if k < 3 else pa.int64()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "role", "partner", "places"])
 
-        met = pairs.mapInArrow(run, "word string, role string, partner string").groupBy("word", "role").agg(F.count_distinct("partner").alias("n")).where(F.col("n") >= LEAST_PARTNERS)
+        met = pairs.mapInArrow(run, "word string, role string, partner string, places bigint").groupBy("word", "role").agg(F.count_distinct("partner").alias("n"), F.sum("places").alias("beside"))
+        met = met.join(capital, "word").where((F.col("n") >= LEAST_PARTNERS) & (F.col("beside") >= LEAST_BESIDE * F.col("places")))
         # a word of two roles has the one with more partners
         new = {}
-        for r in sorted(bounded(met.join(capital, "word").select("word", "role", "n"), MOST_NAMES, "names in texts"), key=lambda r: (-r["n"], r["word"], r["role"])):
+        for r in sorted(bounded(met.select("word", "role", "n"), MOST_NAMES, "names in texts"), key=lambda r: (-r["n"], r["word"], r["role"])):
             if r["word"] not in known:  # part of a double name
                 new.setdefault(r["word"], r["role"])
         if not new:
