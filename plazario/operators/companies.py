@@ -156,6 +156,24 @@ def facet_counts(df: DataFrame, facets: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
 
 
+def identity(postings: DataFrame) -> DataFrame:
+    """(company_key, display_name, aliases, logo, url, text_length): the most common spelling, the other ones, the first logo and address by ``seq``, the letters of all descriptions.
+
+    Spellings are counted before they meet, so a company with many postings brings its distinct spellings only.
+    """
+    spelled = postings.where("company_name_raw is not null").groupBy("company_key", "company_name_raw").agg(F.count("*").alias("n"))
+    names = spelled.groupBy("company_key").agg(F.max_by("company_name_raw", F.struct("n", "company_name_raw")).alias("display_name"), F.collect_list("company_name_raw").alias("all"))
+    first = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("seq")))
+    facts = postings.groupBy("company_key").agg(first("company_logo_url").alias("logo"), first("company_linkedin_url").alias("url"), F.sum(F.length("description_text")).alias("text_length"))
+    others = F.array_sort(F.filter("all", lambda x: x != F.col("display_name")))
+    return facts.join(names, "company_key", "left").select("company_key", "display_name", F.when(F.size(others) > 0, others).alias("aliases"), "logo", "url", "text_length")
+
+
+def in_order(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row within its key."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)))
+
+
 def allowed(df: DataFrame, columns: set[str]) -> DataFrame:
     """Only the columns that may be shown: an allow-list never leaks a new column."""
     return df.select(*[c for c in df.columns if c in columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plazario.functions.text import folded, normalize_text, normalize_title
@@ -46,9 +46,15 @@ ROLES = {
 FIELD_JUNIOR = ["practicas", "becari", "internship", "sin experiencia", "entry level", "nivel inicial"]
 
 
-def level(title: Column, description: Column, field: Column) -> Column:
-    """struct<label, confidence> of a posting's level; NOT_DESIGN where the title is no design job."""
-    t, d, f = F.coalesce(normalize_title(title), F.lit("")), F.coalesce(normalize_text(description), F.lit("")), F.coalesce(folded(field), F.lit(""))
+def with_level(df: DataFrame, title: str, description: str, field: str, name: str = "level") -> DataFrame:
+    """``df`` with struct<label, confidence> of each posting's level; every text is normalised once, in a step of its own."""
+    own = {"level title": normalize_title(title), "level text": normalize_text(description), "level field": folded(field)}
+    normal = df.withColumns({k: F.coalesce(v, F.lit("")) for k, v in own.items()})
+    return normal.withColumn(name, level(F.col(title), *map(F.col, own))).drop(*own)
+
+
+def level(title: Column, t: Column, d: Column, f: Column) -> Column:
+    """struct<label, confidence> by a title as it is and normalised title, description and field; NOT_DESIGN where the title is no design job."""
     senior = any_hit(t, SENIOR) | any_hit(F.coalesce(title, F.lit("")), ROMAN)
     junior = any_hit(t, JUNIOR)
     return ladder(

@@ -36,9 +36,9 @@ class Run:
         return self.labelled.where(F.col("level") == "NOT_DESIGN").select("job_id", "title_raw", "company_name_raw", F.lit("NOT_DESIGN").alias("reason"), "hits")
 
     def reconcile(self) -> DataFrame:
-        n = F.sum("n_sightings")
-        merged = self.seen.agg(n.alias("n")).join(self.postings.agg(F.count("*").alias("m"))).select(F.col("n") - F.col("m"))
-        return dedupe.reconcile(self.seen.agg(n), self.kept.agg(F.count("*")), self.filtered.agg(F.count("*")), merged)
+        """Sightings that came in against the postings of either route and the sightings folded into them, as these postings tell: a row lost or counted twice unbalances it."""
+        merged = self.labelled.agg(F.sum(F.col("n_sightings") - 1).alias("n"))
+        return dedupe.reconcile(self.seen.agg(F.sum("n_sightings").alias("n")), self.kept.agg(F.count("*")), self.filtered.agg(F.count("*")), merged)
 
 
 def postings_of(raw: DataFrame, today: Column) -> DataFrame:
@@ -52,8 +52,8 @@ def postings_of(raw: DataFrame, today: Column) -> DataFrame:
 
 def label(postings: DataFrame) -> DataFrame:
     """Postings with level, role and the hits behind them."""
-    level, role = labels.level(F.col("title_raw"), F.col("description_text"), F.col("li_seniority_field")), labels.role(F.col("title_raw"))
-    out = postings.withColumns({"verdict": level, "role_verdict": role, "hits": labels.level_hits(F.col("title_raw"))})
+    role = labels.role(F.col("title_raw"))
+    out = labels.with_level(postings, "title_raw", "description_text", "li_seniority_field", "verdict").withColumns({"role_verdict": role, "hits": labels.level_hits(F.col("title_raw"))})
     return out.withColumns({"level": F.col("verdict.label"), "level_confidence": F.col("verdict.confidence"), "role": F.col("role_verdict.label"), "role_second": F.col("role_verdict.second")}).drop("verdict", "role_verdict")
 
 

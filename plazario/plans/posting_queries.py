@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazario.common import table
+from plazario.common import spread, table
 from plazario.functions import dates, posting, text, urls
 from plazario.operators import companies, dedupe, labels
 from plazario.operators.rules import any_hit
+from plazario.plans import pipeline
 from plazario.sources import pages, store
 
 TODAY = "2026-09-01"
@@ -197,8 +198,8 @@ def monograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(s_level())
 def seniority_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = labels.level(F.col("title_raw"), F.col("description_text"), F.col("li_seniority_field"))
-    return table(spark, sf_dir, "postings").select("job_id", v.alias("v")).select("job_id", F.col("v.label").alias("level"), F.col("v.confidence").alias("confidence"))
+    p = spread(table(spark, sf_dir, "postings", "job_id", "title_raw", "description_text", "li_seniority_field"))
+    return labels.with_level(p, "title_raw", "description_text", "li_seniority_field").select("job_id", F.col("level.label").alias("level"), F.col("level.confidence").alias("confidence"))
 
 
 def _s_role() -> str:
@@ -217,11 +218,14 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seniority_labels(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query(f"select count(*) as seen, count(*) filter (where level <> 'NOT_DESIGN') as kept, count(*) filter (where level = 'NOT_DESIGN') as filtered, cast(0 as bigint) as merged, true as balanced from ({s_level()})")
+@query("select count(*) as seen, true as balanced, true as every_identifier_is_kept_or_merged from postings")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = seniority_labels(spark, sf_dir)
-    kept, out = F.count_if(F.col("level") != "NOT_DESIGN"), F.count_if(F.col("level") == "NOT_DESIGN")
-    return dedupe.reconcile(v.agg(F.count("*")), v.agg(kept), v.agg(out), v.agg(F.count("*") - kept - out))
+    """The whole pipeline over the postings as single sightings: what came in against what its layers hold, and every identifier found again in them."""
+    raw = table(spark, sf_dir, "postings").withColumns({"n_sightings": F.lit(1), "merged_ids": F.array().cast("array<string>")})
+    run = pipeline.process(raw, _today())
+    held = run.labelled.select(F.explode(F.array_append("merged_ids", F.col("job_id"))).alias("job_id")).distinct()
+    lost = raw.where(F.trim("job_id") != "").select("job_id").distinct().join(held, "job_id", "left_anti").agg((F.count("*") == 0).alias("every_identifier_is_kept_or_merged"))
+    return run.reconcile().select("seen", "balanced").join(lost)
 
 
 @query(f"select job_id, len(list_distinct(list_filter([{', '.join(f'regexp_extract(t, {_q(p)})' for p in labels.AI_TEXT)}], lambda x: x <> ''))) as n_ai from (select job_id, coalesce({s_text('title_raw || chr(10) || description_text')}, {s_text('title_raw')}, {s_text('description_text')}, '') as t from postings)")
@@ -229,7 +233,19 @@ def ai_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "postings").select("job_id", labels.ai_mentions(F.col("title_raw"), F.col("description_text")).cast("bigint").alias("n_ai"))
 
 
-@query()
+def _s_hits(x: str, patterns: list[str]) -> str:
+    """The first match of every pattern that matches; a boundary that is looked at is consumed and taken off."""
+
+    def one(p: str) -> str:
+        bounded = p.startswith("(?<![a-z])") or p.endswith("(?![a-z])")
+        inner = p.removeprefix("(?<![a-z])").removesuffix("(?![a-z])")
+        before, after = ("(?:^|[^a-z])" if p.startswith("(?<![a-z])") else ""), ("(?:$|[^a-z])" if p.endswith("(?![a-z])") else "")
+        return f"trim(regexp_extract({x}, {_q(f'{before}({inner}){after}' if bounded else f'({inner})')}, 1))"
+
+    return f"list_filter([{', '.join(map(one, patterns))}], lambda h: h <> '')"
+
+
+@query(f"select job_id, case when t is not null then list_concat(list_concat({_s_hits('t', labels.LEAD)}, {_s_hits('t', labels.SENIOR)}), {_s_hits('t', labels.JUNIOR)}) end as hits from (select job_id, {s_title('title_raw')} as t from postings)")
 def level_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "postings").select("job_id", labels.level_hits(F.col("title_raw")).alias("hits"))
 
@@ -256,7 +272,19 @@ def merge_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.merge(p.unionByName(n).where(F.trim("job_id") != ""), "job_id").select("job_id", "posted_at", F.col("n_sightings").cast("bigint").alias("n_sightings"))
 
 
-@query()
+_STAYS = """case when a.posted_at is not null and b.posted_at is not null and a.posted_at <> b.posted_at then a.posted_at > b.posted_at
+when a.source is distinct from b.source then coalesce(a.source, '') = 'session' else length(coalesce(a.description_text, '')) >= length(coalesce(b.description_text, '')) end"""
+
+
+def _s_joined(w: str, l: str) -> str:
+    ids = f"list_sort(list_distinct(list_concat(list_append({w}.merged_ids, {l}.job_id), {l}.merged_ids)))"
+    return f"struct_pack(job_id := {w}.job_id, posted_at := {w}.posted_at, source := {w}.source, description_text := coalesce(nullif({w}.description_text, ''), {l}.description_text), merged_ids := {ids}, n_sightings := {w}.n_sightings + {l}.n_sightings)"
+
+
+@query(f"""with g as (select dedupe_key, list(struct_pack(job_id := job_id, posted_at := posted_at, source := source, description_text := description_text, merged_ids := coalesce(merged_ids, []::varchar[]), n_sightings := cast(n_sightings as bigint)) order by seq) as rows
+from postings where trim(dedupe_key) <> '' group by dedupe_key),
+r as (select dedupe_key, list_reduce(rows, lambda a, b: case when {_STAYS} then {_s_joined('a', 'b')} else {_s_joined('b', 'a')} end) as w from g)
+select dedupe_key, w.job_id, w.merged_ids, w.n_sightings from r""")
 def fold_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.fold(table(spark, sf_dir, "postings"), "dedupe_key")
 
@@ -345,7 +373,7 @@ def _s_phrases() -> str:
 
 @query(_s_phrases())
 def phrase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "postings").where("description_text is not null").select("job_id", text.normalize_text("description_text").alias("t"))
+    p = spread(table(spark, sf_dir, "postings", "job_id", "description_text").where("description_text is not null")).select("job_id", text.normalize_text("description_text").alias("t"))
     return p.select("job_id", *[v.cast("int").alias(k.lower()) for k, v in companies.phrase_scores(F.col("t")).items()])
 
 
@@ -366,11 +394,11 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("company_key", "bucket", "latest", score.alias("score"), F.array_join(strong, "|").alias("strong"), weak.alias("weak"))
 
 
-_S_SCORED = f"""(with p as (select company_key, posted_at, location_bucket, coalesce(posted_confidence, 0.5) as conf, cast(date '{TODAY}' - posted_at as integer) as days from postings where company_key is not null),
+_S_FACTORS = f"""(with p as (select company_key, posted_at, location_bucket, coalesce(posted_confidence, 0.5) as conf, cast(date '{TODAY}' - posted_at as integer) as days from postings where company_key is not null),
 c as (select company_key, max((case when days is null then 0.5 when days <= 3 then 1.0 when days <= 7 then 0.9 when days <= 14 then 0.7 when days <= 30 then 0.4 else 0.15 end)::double * conf + 0.5::double * (1 - conf)) as recency,
 max((case location_bucket when 'MADRID' then 1.0 when 'REMOTE_ES' then 0.85 when 'REST_ES' then 0.4 when 'UNKNOWN' then 0.3 else 0.0 end)::double) as place, count(*) as n, max(posted_at) as latest, min(location_bucket) as bucket from p group by company_key),
-v as (select *, (case when n >= 3 then 1.0 when n = 2 then 0.7 else 0.3 end)::double as volume from c)
-select company_key, bucket, latest, round_even(round_even(40.0::double * recency, 2) + round_even(35.0::double * place, 2) + round_even(25.0::double * volume, 2), 1) as score from v)"""
+v as (select *, (case when n >= 3 then 1.0 when n = 2 then 0.7 else 0.3 end)::double as volume from c) select * from v)"""
+_S_SCORED = f"(select company_key, bucket, latest, round_even(round_even(40.0::double * recency, 2) + round_even(35.0::double * place, 2) + round_even(25.0::double * volume, 2), 1) as score from {_S_FACTORS})"
 
 
 @query(f"select company_key, score from {_S_SCORED}")
@@ -378,7 +406,10 @@ def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("company_key", "score")
 
 
-@query()
+@query(f"""with v as (select company_key, [struct_pack(p := round_even(40.0::double * recency, 2), o := 0, n := 'recency', x := recency, l := 40.0::double * (1 - recency)),
+struct_pack(p := round_even(35.0::double * place, 2), o := -1, n := 'place', x := place, l := 35.0::double * (1 - place)), struct_pack(p := round_even(25.0::double * volume, 2), o := -2, n := 'volume', x := volume, l := 25.0::double * (1 - volume))] as c from {_S_FACTORS})
+select company_key, array_to_string(list_transform(list_reverse_sort(list_filter(c, lambda i: i.x >= 0.6))[1:2], lambda i: i.n), '|') as strong,
+case when list_reverse_sort(list_transform(c, lambda i: struct_pack(l := i.l, o := i.o, n := i.n, x := i.x)))[1].x < 0.5 then list_reverse_sort(list_transform(c, lambda i: struct_pack(l := i.l, o := i.o, n := i.n, x := i.x)))[1].n end as weak from v""")
 def score_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("company_key", "strong", "weak")
 
@@ -474,10 +505,55 @@ def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select level, count(*) as n, count(*) filter (where role = 'AI') as n_ai from ({s_level()}) a join ({_s_role()}) b using (job_id) group by level")
 def market_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "postings")
-    v = p.select(labels.level(F.col("title_raw"), F.col("description_text"), F.col("li_seniority_field"))["label"].alias("level"), any_hit(F.coalesce(text.folded("title_raw"), F.lit("")), labels.ROLES["AI"]).alias("ai"))
+    v = labels.with_level(spread(p.select("title_raw", "description_text", "li_seniority_field")), "title_raw", "description_text", "li_seniority_field").select(F.col("level.label").alias("level"), any_hit(F.coalesce(text.folded("title_raw"), F.lit("")), labels.ROLES["AI"]).alias("ai"))
     return v.groupBy("level").agg(F.count("*").alias("n"), F.count_if("ai").alias("n_ai"))
 
 
+@query("select n_name as query_name, cast(p as integer) as page from nation, range(3) r(p)")
+def scan_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.rotation(table(spark, sf_dir, "nation").select(F.col("n_name").alias("query_name")), 3)
+
+
+_CAPTIONS = {"MADRID": "Madrid", "REMOTE_ES": "Remoto", "REST_ES": "Resto de España"}
+
+
+@query(f"""select job_id, case location_bucket when 'MADRID' then 'Madrid' when 'REMOTE_ES' then 'Remoto' when 'REST_ES' then 'Resto de España' else location_bucket end as place, upper(substring(title_raw, 1, 1)) || substring(title_raw, 2) as title,
+cast(d as varchar) || case when d = 1 then ' día' else ' días' end as age, replace('{{"t":"' || replace(coalesce(company_key, '-'), '"', '\\"') || '"}}', '<', '\\u003c') as island, lower(case when li_seniority_field = 'JUNIOR_BY_DESC' then 'JUNIOR' else li_seniority_field end) as level_key,
+case when ltrim(trim(company_key), '@') <> '' then 'https://icons.example/' || ltrim(trim(company_key), '@') end as icon from (select *, cast(date '{TODAY}' - posted_at as integer) as d from postings)""")
+def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page shows of a posting: captions, age, a value that may stand in a script, the key of its level in a filter, an icon's address."""
+    p = table(spark, sf_dir, "postings").withColumn("d", F.datediff(_today(), F.col("posted_at")))
+    island = text.script_safe_json(F.struct(F.coalesce("company_key", F.lit("-")).alias("t")))
+    return p.select("job_id", posting.caption("location_bucket", _CAPTIONS).alias("place"), text.upper_first("title_raw").alias("title"), posting.days_caption("d").alias("age"), island.alias("island"), posting.filter_key("li_seniority_field").alias("level_key"), urls.favicon_url("https://icons.example/", "company_key").alias("icon"))
+
+
+@query(f"""select company_key, arg_max(reason, struct_pack(w := w, o := -seq)) as best_reason, max(w) as best from (select seq, company_key, coalesce(posted_confidence, 0.0) as w,
+case when location_bucket = 'MADRID' then 'near' when location_bucket is null then 'unknown' else 'far' end as reason from postings where company_key is not null) group by company_key""")
+def best_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest factor of a company's postings with its reason, the earliest posting on ties."""
+    p = table(spark, sf_dir, "postings", "seq", "company_key", "posted_confidence", "location_bucket").where("company_key is not null")
+    reason = F.when(F.col("location_bucket") == "MADRID", "near").when(F.col("location_bucket").isNull(), "unknown").otherwise("far")
+    w = F.coalesce("posted_confidence", F.lit(0.0))
+    return p.groupBy("company_key").agg(F.max_by(reason, F.struct(w, -F.col("seq"))).alias("best_reason"), F.max(w).alias("best"))
+
+
+@query("""with p as (select * from postings where company_key is not null), n as (select company_key, company_name_raw, count(*) as n from p where company_name_raw is not null group by all),
+d as (select company_key, arg_max(company_name_raw, struct_pack(n := n, c := company_name_raw)) as display_name from n group by company_key)
+select company_key, any_value(display_name) as display_name, list_sort(list(distinct company_name_raw) filter (where company_name_raw <> display_name)) as aliases, arg_min(company_logo_url, seq) filter (where company_logo_url <> '') as logo,
+arg_min(company_linkedin_url, seq) filter (where company_linkedin_url <> '') as url, cast(sum(length(description_text)) as bigint) as text_length from p left join d using (company_key) group by company_key""")
+def company_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display name, its other spellings, and the first logo and address of each company."""
+    p = table(spark, sf_dir, "postings").where("company_key is not null")
+    return companies.identity(p)
+
+
+@query("""select seq, job_id, company_key, row_number() over (partition by company_key order by posted_at desc nulls last, seq) as place from postings where company_key is not null""")
+def postings_in_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a company's postings are shown: newest first."""
+    p = table(spark, sf_dir, "postings", "seq", "job_id", "company_key", "posted_at").where("company_key is not null")
+    return companies.in_order(p, "company_key", [F.desc_nulls_last("posted_at"), F.col("seq")], "place").drop("posted_at")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

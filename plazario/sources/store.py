@@ -15,11 +15,19 @@ def save_raw(df: DataFrame, folder: str) -> None:
     df.write.mode("append").partitionBy("run_id").json(f"{folder}/raw")
 
 
+def runs(spark: SparkSession, folder: str) -> list[str]:
+    """Run ids of the raw layer, oldest first: the names of its folders, one for each run; no record is read."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/raw")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(path) if x.isDirectory()]
+    return sorted(n.removeprefix("run_id=") for n in names if n.startswith("run_id="))
+
+
 def load_raw(spark: SparkSession, folder: str, run_id: str | None = None) -> DataFrame:
     """Records of a run, by default the latest: run ids sort by time, so the greatest name wins and only its folder is read."""
     df = spark.read.schema(RAW).json(f"{folder}/raw")
-    run_id = run_id or df.agg(F.max("run_id")).first()[0]
-    return df.where(F.col("run_id") == run_id)
+    return df.where(F.col("run_id") == (run_id or runs(spark, folder)[-1]))
 
 
 def append_seen(df: DataFrame, folder: str) -> None:

@@ -17,11 +17,10 @@ def arrivals(spark: SparkSession, folder: str, schema, files_a_trigger: int = 10
 def once(stream: DataFrame, key: str = "job_id", time: str = "fetched_at", late: str = "30 days") -> DataFrame:
     """The first arrival of each identifier within the watermark.
 
-    Rows without time cannot be late: they are held against each other for as long as the stream runs.
+    Rows without time count as of the moment they are read, so all identifiers share one state, which the watermark bounds; their time stays null.
     """
-    timed = stream.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    timeless = stream.where(F.col(time).isNull()).withColumn(time, F.col(time).cast("timestamp")).dropDuplicates([key])
-    return timed.unionByName(timeless)
+    at = F.coalesce(F.col(time).cast("timestamp"), F.current_timestamp())
+    return stream.withColumn("arrived at", at).withWatermark("arrived at", late).dropDuplicatesWithinWatermark([key]).drop("arrived at")
 
 
 def per_window(stream: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:

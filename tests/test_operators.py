@@ -25,8 +25,8 @@ def posting(seq, job, k, day=None, source="guest", text="", url=None):
     ],
 )
 def test_labels(spark, title, level, role):
-    df = spark.createDataFrame([(title, None, None)], "t string, d string, f string")
-    r = df.select(labels.level(F.col("t"), F.col("d"), F.col("f"))["label"].alias("l"), labels.role(F.col("t"))["label"].alias("r")).first()
+    df = labels.with_level(spark.createDataFrame([(title, None, None)], "t string, d string, f string"), "t", "d", "f")
+    r = df.select(F.col("level.label").alias("l"), labels.role(F.col("t"))["label"].alias("r")).first()
     assert (r["l"], r["r"]) == (level, role)
 
 
@@ -155,7 +155,7 @@ def test_raw_layer(spark, tmp_path):
 
 
 def test_stream_drops_repeats(spark, tmp_path):
-    rows = [("a", datetime.datetime(2026, 1, 1)), ("a", datetime.datetime(2026, 1, 2)), ("b", None)]
+    rows = [("a", datetime.datetime(2026, 1, 1)), ("a", datetime.datetime(2026, 1, 2)), ("b", None), ("b", datetime.datetime(2026, 1, 2))]
     spark.createDataFrame(rows, "job_id string, fetched_at timestamp").write.parquet(str(tmp_path / "in"))
     stream = ingest.once(ingest.arrivals(spark, str(tmp_path / "in"), "job_id string, fetched_at timestamp"))
     q = ingest.run_batches(stream, str(tmp_path / "cp"), lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out")))
