@@ -76,6 +76,8 @@ _SMALL_WORDS = r"\s(?:de la|de los|de las|del|de|da|do|dos|das|van der|van|von|y
 _PARTICLE = regex.compile(_SMALL_WORDS)
 #: Two and more words that may be a name, as they stand together.
 _ONE = rf"(?:{_U}\.(?:-{_U}\.)?|{_W}(?![\p{{L}}]))"
+_LOW_WORD = regex.compile(r"(?<![\w@.+-])\p{Ll}[\p{Ll}\p{M}'’-]+(?![\w@])")
+_LOW_RUN = regex.compile(r"(?<![\w@.+-])\p{Ll}[\p{Ll}\p{M}'’-]+(?:,? \p{Ll}[\p{Ll}\p{M}'’-]+)+(?![\w@])")
 _RUN = regex.compile(rf"{_ONE}(?:(?: |, |{_SMALL_WORDS}){_ONE})+")
 _MARKS = regex.compile(r"\p{M}+")
 #: The end of a sentence, not of an abbreviation.
@@ -217,6 +219,25 @@ class Model:
             for m in _TOKEN.finditer(text, *whole.span()):
                 run.append((m.start(), m.end(), "I" if m.lastgroup == "initial" else self.role(m[0]), text[last : m.start()]))
                 last = m.end()
+            out |= self._spans(text, run, lang)
+        if sum(w.islower() and fold(w.strip(",.;:")) in self.names for w in text.split()) > 1:
+            for whole in _LOW_RUN.finditer(text):
+                run, last = [], whole.start()
+                for m in _LOW_WORD.finditer(text, *whole.span()):
+                    # written small, only known words are candidates
+                    if (role := self.role(m[0])) == "?":
+                        out |= self._spans(text, run, lang)
+                        run, last = [], m.end()
+                        continue
+                    run.append((m.start(), m.end(), role, text[last : m.start()]))
+                    last = m.end()
+                out |= self._spans(text, run, lang)
+        return out
+
+    def _spans(self, text: str, run: list[tuple[int, int, str, str]], lang: str | None) -> dict[tuple, Segment]:
+        """Candidates of two and more neighbouring words."""
+        out: dict[tuple, Segment] = {}
+        if run:
             for i in range(len(run)):
                 for j in range(i + 1, min(len(run), i + MOST_WORDS)):
                     inner = [run[k][3] for k in range(i + 1, j + 1)]
@@ -235,6 +256,7 @@ class Model:
         pattern = "".join(c + ("," if commas and k == at - 1 else "") for k, c in enumerate(order))
         good = regex.fullmatch(r"[gI]{1,2}s{1,2}|s{1,2},[gI]{1,2}|sg", pattern) is not None
         f = ["name", "name good" if good else "name odd", "name initial" if "I" in order else "name full", f"name words {len(roles)}"]
+        f += ["name in small letters"] if text[s].islower() else []
         f += ["name particle"] if any(_PARTICLE.fullmatch(g) for g in inner) else []
         f += ["name comma"] if commas else []
         cues = {fold(w) for w in _NEAR.findall(_FULL_STOP.split(text[max(0, s - 40) : s])[-1])[-2:]}

@@ -81,4 +81,5 @@ Hubo relevo.\nEstudio Cantero & Sequeira pinta rótulos. Vuelve el verano. Estud
 Signed, {name|Penrose, Emma} Last orders at nine. Firmado, {name|Cantero, Luis} Última hora. Signed, {name|Dubreuil, Claire}
 Schöne Grüße,\n{name|Wendelin Achterberg}. Muchos saludos,\n{name|Idoia Garmendiaga}. Sincerely,\n{name|Tamsin Oakhanger}. Contact {name|Priya Ramanathan}.
 Mit Grüßen,\n{name|Hartmut Brinkhoff}\nAbteilung Einkauf. Atentamente,\n{name|Nerea Lekuona}\nRecursos Humanos. Cordialement,\n{name|Maëlle Rouxel}
+Ayer vino {name|ana robledo} con el presupuesto. Best of luck,\n{name|emma penrose}\n{phone|+44 20 7946 0777}. Da el visto bueno {name|cantero, luis}, como siempre. Mrs {name|claire dubreuil} agrees.
 """
