@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -25,16 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plazario.common import bounded, partitions
+from plazario.common import bounded, durable, partitions
 from plazario.llm.edits import edit_distance
 from plazario.llm.plain import plain
 from plazario.llm.shingles import mix
+from plazario.operators.pairing import looked_up
 
 #: Length of the q-grams and rows of a band.
 Q, ROWS = 2, 3
 #: The collision curve is tuned so that tokens of this similarity meet with this probability.
 LEAST_SIMILARITY, RECALL = 0.4, 0.99
-#: Listed and other companies together; they are broadcast.
+#: Companies of one index, listed and others together; a longer list is sharded.
 MOST_COMPANIES = 20_000
 #: Least similarity of a token and its partner, and of a name and its centre.
 LEAST_TOKEN, LEAST_SCORE = 0.7, 0.74
@@ -143,8 +144,8 @@ def head_similarity(a: str, b: str) -> float:
 class Companies:
     """The centres: tokens and heads of every company, and how many companies use a token."""
 
-    def __init__(self, rows: list[tuple[int, str, list[str] | None]]):
-        """``rows``: number (negative for companies that are not listed), name, aliases."""
+    def __init__(self, rows: list[tuple[int, str, list[str] | None]], users: dict[str, int] | None = None, head_users: dict[str, int] | None = None):
+        """``rows``: number (negative for companies that are not listed), name, aliases; of a shard the counts over all companies are given."""
         self.pool: dict[int, dict[str, None]] = {}
         self.forms: dict[int, list[list[str]]] = {}
         for number, name, aliases in rows:
@@ -152,9 +153,9 @@ class Companies:
             if forms:
                 self.forms[number] = forms
                 self.pool[number] = dict.fromkeys(w for f in forms for w in f)
-        self.users = Counter(w for p in self.pool.values() for w in p)
+        self.users = users or Counter(w for p in self.pool.values() for w in p)
         self.heads = {n: list(dict.fromkeys(self.head(f) for f in forms)) for n, forms in self.forms.items()}
-        self.head_users = Counter(h for hs in self.heads.values() for h in hs)
+        self.head_users = head_users or Counter(h for hs in self.heads.values() for h in hs)
 
     def head(self, form: list[str]) -> str:
         """The telling token of a name: the one fewest companies use, the longest of these; no word of place or group if there is another."""
@@ -226,44 +227,95 @@ class Bands:
 
     def centre(self, name: str) -> tuple[int, float] | None:
         """(entry, score) of the listed company whose star a name joins; None if there is none, or another company is as near."""
+        best = self.nearest(name)
+        return best if best and best[0] >= 0 else None
+
+    def nearest(self, name: str) -> tuple[int, float] | None:
+        """(number, score) of the nearest company, listed or not; on equal scores the one not listed, then the smaller number."""
         own = tokens(name)
         words = [w for w in own if w not in LEGAL]
         # a short word only if it is some company's head: its own bands find it
         met = {c for w in {*(w for w in words if len(w) > 2 or w in self.companies.head_users), "".join(words)} if w for c in self.met(w)}
         scores = [(s, c < 0, -c, c) for c in met if (s := self.companies.score(own, c)) >= LEAST_SCORE]
         best = max(scores, default=None)
-        return (best[3], best[0]) if best and best[3] >= 0 else None
+        return (best[3], best[0]) if best else None
 
 
-def _companies(listed: DataFrame, others: DataFrame | None) -> list[tuple]:
-    rows = [tuple(r) for r in bounded(listed.select("entry_id", "name", "aliases").where("entry_id is not null"), MOST_COMPANIES, "listed companies")]
-    if others is not None:
-        more = bounded(others.select("name", "aliases"), MOST_COMPANIES, "other companies")
-        rows += [(-1 - i, r[0], r[1]) for i, r in enumerate(sorted(more, key=str))]
-    return rows
+def _companies(listed: DataFrame, others: DataFrame | None) -> DataFrame:
+    """(number, name, aliases) of listed companies and, with negative numbers, of others."""
+    rows = listed.select(F.col("entry_id").cast("bigint").alias("number"), "name", "aliases").where("number is not null")
+    if others is None:
+        return rows
+    # equal rows of the other list are one company; its number only has to be its own
+    other = others.select("name", "aliases").distinct().select((-1 - F.pmod(F.xxhash64("name", "aliases"), F.lit(1 << 52))).alias("number"), "name", "aliases")
+    return rows.unionByName(other)
 
 
-def stars(names: DataFrame, listed: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """(name, entry_id, score): each name of ``names`` (one column, distinct) with the listed company whose star it belongs to."""
-    shared = names.sparkSession.sparkContext.broadcast(_companies(listed, others))
+def _told(companies: DataFrame, what: Callable[[Companies], dict[int, Iterable[str]]], users: dict[str, int] | None = None) -> DataFrame:
+    """(number, word) of what each company by itself has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Bands(Companies(shared.value))
         for b in batches:
-            found = [index.centre(n) for n in b.column(0).to_pylist()]
-            kept = [i for i, f in enumerate(found) if f]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(kept, pa.int32())), pa.array([found[i][0] for i in kept], pa.int32()), pa.array([found[i][1] for i in kept], pa.float64())], ["name", "entry_id", "score"]
-            )
-
+            got = [(n, w) for n, ws in what(Companies([tuple(r.values()) for r in b.to_pylist()], users)).items() for w in ws]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([w for _, w in got], pa.string())], ["number", "word"])
+
+    return companies.mapInArrow(run, "number bigint, word string").distinct()
+
+
+def _shards(companies: DataFrame, most: int) -> Iterator[tuple[list[tuple], dict[str, int] | None, dict[str, int] | None]]:
+    """Rows of each shard with the counts over all companies that its own tokens and heads need; one shard is in the driver at a time."""
+    n = companies.count()
+    if n <= most:
+        yield [tuple(r) for r in companies.collect()], None, None
+        return
+    shards = -(-n // most)
+    parts = [companies.where(F.pmod(F.xxhash64("number"), F.lit(shards)) == s) for s in range(shards)]
+    words = durable(_told(companies, lambda c: c.pool))
+    users = durable(words.groupBy("word").agg(F.count("*").alias("n")))
+
+    def of(counts: DataFrame, own: DataFrame) -> dict[str, int]:
+        return {r["word"]: r["n"] for r in bounded(counts.join(own.select("word").distinct(), "word", "left_semi"), 64 * most, "words of a shard of companies")}
+
+    heads = None
+    for part in parts:
+        own = _told(part, lambda c: c.heads, of(users, words.join(part.select("number"), "number", "left_semi")))
+        heads = own if heads is None else heads.unionByName(own)
+    heads = durable(heads.distinct())
+    head_users = durable(heads.groupBy("word").agg(F.count("*").alias("n")))
+    for part in parts:
+        rows = bounded(part, 2 * most + 64, "shard of companies")
+        yield [tuple(r) for r in rows], of(users, words.join(part.select("number"), "number", "left_semi")), of(head_users, heads)
+
+
+def stars(names: DataFrame, listed: DataFrame, others: DataFrame | None = None, most: int = MOST_COMPANIES) -> DataFrame:
+    """(name, entry_id, score): each name of ``names`` (one column, distinct) with the listed company whose star it belongs to.
+
+    With more than ``most`` companies every shard tells its nearest one and the best of these wins, which is the same.
+    """
     # few bytes but much work: adaptive planning would put them into one task
     spread = names.toDF("name").repartition(max(partitions(names.sparkSession), names.sparkSession.sparkContext.defaultParallelism))
-    return spread.mapInArrow(run, "name string, entry_id int, score double")
+    told = None
+    for shard in _shards(_companies(listed, others), most):
+        shared = names.sparkSession.sparkContext.broadcast(shard)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Bands(Companies(*shared.value))
+            for b in batches:
+                found = [index.nearest(n) for n in b.column(0).to_pylist()]
+                kept = [i for i, f in enumerate(found) if f]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(kept, pa.int32())), pa.array([found[i][0] for i in kept], pa.int64()), pa.array([found[i][1] for i in kept], pa.float64())], ["name", "number", "score"]
+                )
+
+        part = spread.mapInArrow(run, "name string, number bigint, score double")
+        told = part if told is None else told.unionByName(part).groupBy("name").agg(F.max(F.struct("score", (F.col("number") < 0).alias("other"), (-F.col("number")).alias("least"))).alias("w")).select("name", (-F.col("w.least")).alias("number"), "w.score")
+    return told.where("number >= 0").select("name", F.col("number").cast("int").alias("entry_id"), "score")
 
 
 def variants(df: DataFrame, name: str, listed: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """``df`` with entry_id and score of the rows whose ``name`` is a variant of a listed company, other than a listed spelling itself."""
     spellings = listed.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"), F.col("entry_id").alias("own")).where("name is not null").distinct()
-    names = df.select(F.col(name).alias("name")).where(F.trim(F.coalesce("name", F.lit(""))) != "").distinct()
-    linked = stars(names, listed, others).join(spellings, ["name"], "left").where("own is null or own <> entry_id").drop("own").distinct()
-    return df.join(linked.withColumnRenamed("name", "linked name"), df[name] == F.col("linked name")).drop("linked name")
+    rows = df.select(F.col(name).alias("name")).where(F.trim(F.coalesce("name", F.lit(""))) != "").groupBy("name").agg(F.count("*").alias("rows"))
+    linked = stars(rows.select("name"), listed, others).join(spellings, ["name"], "left").where("own is null or own <> entry_id").drop("own").distinct()
+    # one name may have a good part of all rows
+    return looked_up(df.withColumn("linked name", F.col(name)), linked.join(rows, "name").withColumnRenamed("name", "linked name"), ["linked name"], "rows").drop("linked name", "rows")

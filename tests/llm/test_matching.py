@@ -203,6 +203,16 @@ def test_variants(spark):
     assert names.variants(df, "company", listed.where("false")).count() == 0
 
 
+def test_any_number_of_shards_of_companies_gives_the_same_stars(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables")
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    all_names = read("postings").select(F.col("company_name_raw").alias("name")).where("trim(name) <> ''").distinct()
+    one = {tuple(r) for r in names.stars(all_names, read("deny_entries"), read("allow_entries")).collect()}
+    assert one and one == {tuple(r) for r in names.stars(all_names, read("deny_entries"), read("allow_entries"), most=90).collect()}
+
+
 def texts(n, seed=0):
     rng = np.random.default_rng(seed)
     base = [[f"w{x}" for x in rng.integers(0, 3000, 120)] for _ in range(n // 3)]
