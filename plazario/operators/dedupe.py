@@ -52,19 +52,22 @@ def merge(df: DataFrame, key: str) -> DataFrame:
 def _preferred(a: Column, b: Column) -> Column:
     """Whether ``a``, the earlier, stays."""
     both = a["posted_at"].isNotNull() & b["posted_at"].isNotNull() & (a["posted_at"] != b["posted_at"])
-    size = lambda x: F.length(F.coalesce(x["description_text"], F.lit("")))
-    sourced = F.when(a["source"] != b["source"], a["source"] == "session").otherwise(size(a) >= size(b))
+    sourced = F.when(a["source"] != b["source"], a["source"] == "session").otherwise(a["length"] >= b["length"])
     return F.when(both, a["posted_at"] > b["posted_at"]).otherwise(sourced)
 
 
 def fold(df: DataFrame, key: str) -> DataFrame:
-    """(key, job_id, merged_ids, n_sightings) after the pairwise fold in order of ``seq``."""
-    item = F.struct("seq", "job_id", "posted_at", "source", "description_text", F.coalesce("merged_ids", F.array().cast("array<string>")).alias("merged_ids"), F.col("n_sightings").cast("bigint").alias("n_sightings"))
+    """(key, job_id, merged_ids, n_sightings) after the pairwise fold in order of ``seq``.
+
+    Of a text only its length decides, and whether it fills an empty one, so no text moves.
+    """
+    length = F.length(F.coalesce("description_text", F.lit("")))
+    item = F.struct("seq", "job_id", "posted_at", "source", length.alias("length"), F.coalesce("merged_ids", F.array().cast("array<string>")).alias("merged_ids"), F.col("n_sightings").cast("bigint").alias("n_sightings"))
     rows = df.where(blank_to_null(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("rows"))
 
     def joined(w: Column, loser: Column) -> Column:
         ids = F.array_sort(F.array_distinct(F.concat(w["merged_ids"], F.array(loser["job_id"]), loser["merged_ids"])))
-        return F.struct(w["seq"].alias("seq"), w["job_id"].alias("job_id"), w["posted_at"].alias("posted_at"), w["source"].alias("source"), F.coalesce(F.nullif(w["description_text"], F.lit("")), loser["description_text"]).alias("description_text"), ids.alias("merged_ids"), (w["n_sightings"] + loser["n_sightings"]).alias("n_sightings"))
+        return F.struct(w["seq"].alias("seq"), w["job_id"].alias("job_id"), w["posted_at"].alias("posted_at"), w["source"].alias("source"), F.when(w["length"] > 0, w["length"]).otherwise(loser["length"]).alias("length"), ids.alias("merged_ids"), (w["n_sightings"] + loser["n_sightings"]).alias("n_sightings"))
 
     merged = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.element_at("rows", 1), lambda a, b: F.when(_preferred(a, b), joined(a, b)).otherwise(joined(b, a)))
     return rows.withColumn("w", merged).select(key, "w.job_id", "w.merged_ids", "w.n_sightings")

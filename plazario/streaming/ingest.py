@@ -20,7 +20,7 @@ def once(stream: DataFrame, key: str = "job_id", time: str = "fetched_at", late:
     Rows without time count as of the moment they are read, so all identifiers share one state, which the watermark bounds; their time stays null.
     """
     at = F.coalesce(F.col(time).cast("timestamp"), F.current_timestamp())
-    return stream.withColumn("arrived at", at).withWatermark("arrived at", late).dropDuplicatesWithinWatermark([key]).drop("arrived at")
+    return stream.withColumn("__arrived", at).withWatermark("__arrived", late).dropDuplicatesWithinWatermark([key]).drop("__arrived")
 
 
 def per_window(stream: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
