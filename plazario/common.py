@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -36,8 +37,10 @@ def durable(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder)
     cut = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    sc._jvm.System.gc()
+    for _ in range(2):  # what one collection finds, its finalisers let go of
+        gc.collect()
+        sc._jvm.System.gc()
+        time.sleep(0.1)
     return cut
 
 
