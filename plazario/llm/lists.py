@@ -18,7 +18,8 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Positions that lists are keyed by, those whose whole bytes divide a long list, and ways to choose them.
 ANCHORS, PAIRED, VARIANTS = 14, 16, 16
@@ -70,9 +71,9 @@ def chosen(positions: int) -> np.ndarray:
     return np.array(out)
 
 
-def multipliers(positions: int) -> np.ndarray:
-    """One odd number for each hash function."""
-    x = np.arange(1, positions + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def multipliers(positions: int, beyond: int = 0) -> np.ndarray:
+    """One odd number for each hash function, those ``beyond`` others being left to them."""
+    x = np.arange(beyond + 1, beyond + positions + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((x >> np.uint64(31)).astype(np.uint32) | np.uint32(1))[None, :]
 
@@ -98,11 +99,28 @@ def signatures(runs: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.nda
     return ((least * _PRIME) >> np.uint32(24)).astype(np.uint8)
 
 
+def halves(signatures: np.ndarray) -> np.ndarray:
+    """Half of each byte, in words of 16."""
+    half = signatures & 15
+    return (half[:, ::2] | half[:, 1::2] << 4).view(np.uint64)
+
+
+def tally(a: Column, b: Column) -> Column:
+    """Agreeing half-bytes of two arrays of words."""
+
+    def differ(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return 16 * F.size(a) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda n, x: n + x)
+
+
 def entries(signatures: np.ndarray, own: np.ndarray, variant: np.ndarray, form: Form) -> np.ndarray:
     """One row of ``form.width`` words for each signature, with the ``variant`` of the list it goes to."""
     out = np.empty((len(signatures), form.width), np.uint64)
-    half = signatures & 15
-    out[:, : form.words] = (half[:, ::2] | half[:, 1::2] << 4).view(np.uint64)
+    out[:, : form.words] = halves(signatures)
     high = np.take_along_axis(signatures, form.chosen[variant], axis=1) >> 4
     out[:, form.words] = np.ascontiguousarray(high[:, ::2] | high[:, 1::2] << 4).view(np.uint64)[:, 0]
     out[:, form.words + 1] = own

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plazario.common import bounded, durable, spread
+from plazario.llm import shingles as S
 from plazario.llm.pii_examples import EXAMPLES
 
 KINDS = ("email", "phone", "ident", "address", "name")
@@ -80,6 +81,8 @@ _LOW_WORD = regex.compile(r"(?<![\w@.+-])\p{Ll}[\p{Ll}\p{M}'’-]+(?![\w@])")
 _LOW_RUN = regex.compile(r"(?<![\w@.+-])\p{Ll}[\p{Ll}\p{M}'’-]+(?:,? \p{Ll}[\p{Ll}\p{M}'’-]+)+(?![\w@])")
 _RUN = regex.compile(rf"{_ONE}(?:(?: |, |{_SMALL_WORDS}){_ONE})+")
 _MARKS = regex.compile(r"\p{M}+")
+_LETTERS = regex.compile(r"\p{L}+")
+_GOOD, _SEPARATORS, _AMERICAN = re.compile(r"[gI]{1,2}s{1,2}|s{1,2},[gI]{1,2}|sg"), re.compile(r"(?<=\d)[ .-](?=\d)"), re.compile(r"(?:\+1[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}")
 #: The end of a sentence, not of an abbreviation.
 _FULL_STOP = re.compile(r"\w{3}[.!?]\s")
 #: Titles and other words that stand before a name or look like part of one.
@@ -116,7 +119,7 @@ def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
 
 
 def _shape(s: str) -> str:
-    return regex.sub(r"\p{L}+", "a", regex.sub(r"\d+", lambda m: str(len(m[0])), s))
+    return _LETTERS.sub("a", _DIGITS.sub(lambda m: str(len(m[0])), s))
 
 
 def _windows(numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -164,6 +167,7 @@ class Model:
     def __init__(self, names: dict[str, str], weights: dict[str, float] | None = None):
         """``names``: folded word to roles, "g" given name, "s" surname, "gs" both."""
         self.names, self.weights = names, weights or {}
+        self._folded = frozenset(w.encode() for w in names)
 
     def role(self, word: str) -> str:
         known = {self.names.get(fold(p), "") for p in word.split("-")}
@@ -191,11 +195,11 @@ class Model:
             f += [f"{kind} cue"] if _CUE_FOLDED[kind] & set(left) else []
             f += [f"{kind} not"] if _CUE_FOLDED["no"] & {*left[-2:], *right[:1]} else []
             if kind == "phone":
-                seps = set(regex.findall(r"(?<=\d)[ .-](?=\d)", span))
+                seps = set(_SEPARATORS.findall(span))
                 national = digits[2:] if digits.startswith("34") and ("+" in span) else digits[4:] if digits.startswith("0034") else digits
                 f.append("phone plus" if span[0] in "+(" and "+" in span[:3] else "phone 00" if digits.startswith("00") else f"phone bare {len(digits)} {digits[0]}")
                 f.append(f"phone seps {len(seps)}")
-                f.append("phone spain" if len(national) == 9 and national[0] in "6789" else "phone us" if regex.fullmatch(r"(?:\+1[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}", span) else "phone uk" if digits.lstrip("0").startswith(("44", "20", "1")) and 10 <= len(digits) <= 13 and digits[0] in "04" else "phone other")
+                f.append("phone spain" if len(national) == 9 and national[0] in "6789" else "phone us" if _AMERICAN.fullmatch(span) else "phone uk" if digits.lstrip("0").startswith(("44", "20", "1")) and 10 <= len(digits) <= 13 and digits[0] in "04" else "phone other")
                 f.append(f"phone bracket {span.startswith('(')}")
             else:
                 f.append("ident " + _shape(span))
@@ -220,7 +224,7 @@ class Model:
                 run.append((m.start(), m.end(), "I" if m.lastgroup == "initial" else self.role(m[0]), text[last : m.start()]))
                 last = m.end()
             out |= self._spans(text, run, lang)
-        if sum(w.islower() and fold(w.strip(",.;:")) in self.names for w in text.split()) > 1:
+        if len(self._folded.intersection(S.words(text))) > 1 and sum(w.islower() and fold(w.strip(",.;:")) in self.names for w in text.split()) > 1:
             for whole in _LOW_RUN.finditer(text):
                 run, last = [], whole.start()
                 for m in _LOW_WORD.finditer(text, *whole.span()):
@@ -254,7 +258,7 @@ class Model:
         at = inner.index(", ") + 1 if commas else 0
         order = [r if r in ("I", "?") else "g" if "g" in r and (r == "g" or (k >= at if commas else k == 0)) else "s" if "s" in r else "g" for k, r in enumerate(roles)]
         pattern = "".join(c + ("," if commas and k == at - 1 else "") for k, c in enumerate(order))
-        good = regex.fullmatch(r"[gI]{1,2}s{1,2}|s{1,2},[gI]{1,2}|sg", pattern) is not None
+        good = _GOOD.fullmatch(pattern) is not None
         f = ["name", "name good" if good else "name odd", "name initial" if "I" in order else "name full", f"name words {len(roles)}"]
         f += ["name in small letters"] if text[s].islower() else []
         f += ["name particle"] if any(_PARTICLE.fullmatch(g) for g in inner) else []

@@ -395,3 +395,12 @@ def test_places_in_a_long_phrase():
 def test_head_of_two_letters_is_looked_up():
     index = names.Bands(names.Companies([(1, "EY", None), (2, "Nube Clara", None)]))
     assert index.centre("EY Iberia")[0] == 1 and index.centre("EY España")[0] == 1 and index.centre("HP España") is None
+
+
+def test_tally_of_half_bytes(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (40, 128), dtype=np.uint8)
+    b = np.where(rng.random(a.shape) < 0.5, a, rng.integers(0, 256, a.shape, dtype=np.uint8)).astype(np.uint8)
+    rows = [(x.tolist(), y.tolist()) for x, y in zip(lists.halves(a).view(np.int64), lists.halves(b).view(np.int64), strict=True)]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    assert [r[0] for r in df.select(lists.tally(F.col("a"), F.col("b"))).collect()] == ((a & 15) == (b & 15)).sum(axis=1).tolist()
