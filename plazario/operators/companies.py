@@ -82,7 +82,14 @@ def subset_matches(names: DataFrame, listed: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    out, matcher = [], SequenceMatcher()
+    for x, y in zip(a, b, strict=True):
+        if matcher.a != x:
+            matcher.set_seq1(x)
+        matcher.set_seq2(y)
+        # shared letters in any order bound the likeness from above
+        out.append(matcher.ratio() if matcher.quick_ratio() >= FUZZY_WEAK else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
 def fuzzy_matches(names: DataFrame, spellings: DataFrame) -> DataFrame:
@@ -97,7 +104,9 @@ def fuzzy_matches(names: DataFrame, spellings: DataFrame) -> DataFrame:
     b = long(spellings.select("entry_id", F.col("norm").alias("candidate")), "candidate")
     pairs = a.select("norm", F.explode(F.array_distinct(grams(F.col("norm")))).alias("g")).join(b.select("entry_id", "candidate", F.explode(F.array_distinct(grams(F.col("candidate")))).alias("g")), "g")
     la, lb = F.length("norm"), F.length("candidate")
-    met = pairs.where(2 * F.least(la, lb) >= FUZZY_WEAK * (la + lb)).select("norm", "entry_id", "candidate").distinct()
+    sized = pairs.where(2 * F.least(la, lb) >= FUZZY_WEAK * (la + lb))
+    # each unmatched letter of either spoils three trigrams of the name at most: the others must be shared
+    met = sized.groupBy("norm", "entry_id", "candidate").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.size(F.array_distinct(grams(F.col("norm")))) - 3 * (1 - FUZZY_WEAK) * (la + lb)).drop("shared")
     scored = met.withColumn("ratio", _likeness("norm", "candidate")).where(F.col("ratio") >= FUZZY_WEAK)
     return scored.groupBy("norm").agg(F.max_by("entry_id", F.struct("ratio", -F.col("entry_id"))).alias("entry_id"), F.max("ratio").alias("ratio"))
 

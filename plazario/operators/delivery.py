@@ -74,11 +74,12 @@ def restore(images: np.ndarray) -> np.ndarray:
 class QuotientTable:
     """Entries (first seq, folded) by exact identifier: runs of remainders, addressed by quotient.
 
-    ``starts[q]:starts[q + 1]`` is the run of quotient ``q`` in ``remainders``.  Insertions are buffered and merged
+    ``starts[q]:starts[q + 1]`` is the run of quotient ``q`` in ``remainders``, so an identifier takes the bits of its remainder and no more.  Insertions are buffered and merged
     when the buffer outgrows the table, so n insertions cost O(n log n) and memory follows the distinct identifiers.
     """
 
-    images: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros((1 << QUOTIENT_BITS) + 1, np.int64))
+    remainders: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint32))
     seqs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     folded: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
     _new: list = field(default_factory=list)
@@ -87,45 +88,50 @@ class QuotientTable:
     def insert(self, images: np.ndarray, seqs: np.ndarray, folded: np.ndarray) -> None:
         self._new.append((images.astype(np.uint64), seqs.astype(np.int64), folded.astype(bool)))
         self._waiting += len(images)
-        if self._waiting > max(1 << 17, len(self.images)):
+        if self._waiting > max(1 << 17, len(self.remainders)):
             self.merge()
 
     def merge(self) -> None:
         if not self._new:
             return
-        x, s, f = (np.concatenate(parts) for parts in zip((self.images, self.seqs, self.folded), *self._new, strict=True))
+        held = self.quotients.astype(np.uint64) << np.uint64(_REMAINDER_BITS) | self.remainders
+        x, s, f = (np.concatenate(parts) for parts in zip((held, self.seqs, self.folded), *self._new, strict=True))
         order = np.argsort(x, kind="stable")
         x, s, f = x[order], s[order], f[order]
         heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
-        self.images = x[heads]
+        kept = x[heads]
+        self.starts = np.searchsorted(kept >> np.uint64(_REMAINDER_BITS), np.arange((1 << QUOTIENT_BITS) + 1, dtype=np.uint64))
+        self.remainders = (kept & np.uint64((1 << _REMAINDER_BITS) - 1)).astype(np.uint32)
         self.seqs = np.minimum.reduceat(s, heads) if len(heads) else s
         self.folded = np.logical_or.reduceat(f, heads) if len(heads) else f
         self._new, self._waiting = [], 0
 
-    @property
-    def remainders(self) -> np.ndarray:
-        return (self.images & np.uint64((1 << _REMAINDER_BITS) - 1)).astype(np.uint32)
-
     @property
     def quotients(self) -> np.ndarray:
-        return (self.images >> np.uint64(_REMAINDER_BITS)).astype(np.int32)
-
-    @property
-    def starts(self) -> np.ndarray:
-        return np.searchsorted(self.quotients, np.arange((1 << QUOTIENT_BITS) + 1))
+        return np.repeat(np.arange(1 << QUOTIENT_BITS, dtype=np.int32), np.diff(self.starts))
 
     def find(self, ids: np.ndarray) -> np.ndarray:
         """Position of each identifier, -1 where absent: binary search within the quotient's run."""
         self.merge()
         x = permute(ids)
-        at = np.searchsorted(self.images, x)
-        there = at < len(self.images)
-        there[there] = self.images[at[there]] == x[there]
-        return np.where(there, at, -1)
+        wanted = (x & np.uint64((1 << _REMAINDER_BITS) - 1)).astype(np.uint32)
+        q = (x >> np.uint64(_REMAINDER_BITS)).astype(np.int64)
+        low, high = self.starts[q].copy(), self.starts[q + 1].copy()
+        end = high.copy()
+        while (low < high).any():
+            open_ = low < high
+            middle = (low + high) // 2
+            below = np.zeros(len(low), bool)
+            below[open_] = self.remainders[middle[open_]] < wanted[open_]
+            low = np.where(below, middle + 1, low)
+            high = np.where(open_ & ~below, middle, high)
+        there = low < end
+        there[there] = self.remainders[low[there]] == wanted[there]
+        return np.where(there, low, -1)
 
     def __len__(self) -> int:
         self.merge()
-        return len(self.images)
+        return len(self.remainders)
 
 
 _ENTRY = "quotient int, remainder bigint, first_seq bigint, folded boolean"
