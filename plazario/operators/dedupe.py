@@ -8,9 +8,12 @@ Rows of a blank or null key are not merged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,22 +82,76 @@ def title_groups(df: DataFrame, company: str, place: str, title: str) -> DataFra
     Works on distinct titles, however many rows carry them; a title joins the first group, in order of first arrival, whose representative is like it.
     """
     distinct = df.where(F.col(title) != "").groupBy(company, place, title).agg(F.min("seq").alias("first"))
-    n = distinct.groupBy(company, place).agg(F.count("*").alias("n")).where("n > 1")
-    several = distinct.join(n.drop("n"), [company, place], "left_semi")
-    alone = distinct.join(n.drop("n"), [company, place], "left_anti").select(company, place, title, F.col(title).alias("title_group"))
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
-        out = []
-        for t in pdf.sort_values("first")[title]:
-            best = next((h for h in heads if SequenceMatcher(None, h, t).ratio() >= FUZZY_TITLE), None)
-            if best is None:
-                heads.append(t)
-            out.append(best or t)
-        done = pdf.sort_values("first")
-        return pd.DataFrame({company: done[company], place: done[place], title: done[title], "title_group": out})
-
-    return several.groupBy(company, place).applyInPandas(group, f"`{company}` string, `{place}` string, `{title}` string, title_group string").unionByName(alone)
+    whole = distinct.groupBy(company, place).agg(F.array_sort(F.collect_list(F.struct("first", title))).alias("titles")).select(company, place, F.col(f"titles.{title}").alias("titles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, titles in enumerate(b.column(2).to_pylist()):
+                found = [titles] if len(titles) < 2 else [titles, grouped_titles(titles)]
+                ends = [pa.array([b.column(c)[k].as_py()] * len(titles), pa.string()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(found[0], pa.string()), pa.array(found[-1], pa.string())], [company, place, title, "title_group"])
+
+    return whole.mapInArrow(run, f"`{company}` string, `{place}` string, `{title}` string, title_group string")
+
+
+#: Letters are told apart by their code in so many classes.
+_LETTERS = 40
+
+
+class Heads:
+    """Representatives of one company and place, by length, with the letters of each counted: likeness is bounded before it is computed."""
+
+    def __init__(self):
+        self.by_length: dict[int, tuple[list[tuple[int, str]], np.ndarray]] = {}
+        self.n = 0
+
+    def add(self, title: str) -> None:
+        heads, letters = self.by_length.get(len(title), ([], np.empty((8, _LETTERS), np.uint8)))
+        if len(heads) == len(letters):
+            letters = np.concatenate([letters, np.empty_like(letters)])
+        letters[len(heads)] = counted_letters(title)
+        heads.append((self.n, title))
+        self.by_length[len(title)] = heads, letters
+        self.n += 1
+
+    def like(self, title: str) -> str | None:
+        """The first representative that is like ``title``."""
+        n, own, near = len(title), counted_letters(title), []
+        for length, (heads, letters) in self.by_length.items():
+            # the common letters are at most those of the shorter one, and those of either
+            if 2.0 * min(length, n) / (length + n) >= FUZZY_TITLE:
+                # what a byte does not count is not told apart
+                common = np.full(len(heads), length + n) if max(length, n) > 255 else np.minimum(letters[: len(heads)], own).sum(axis=1, dtype=np.int64)
+                near += [heads[k] for k in np.flatnonzero(2.0 * common / (length + n) >= FUZZY_TITLE).tolist()]
+        return next((h for _, h in sorted(near) if _subsequence(h, title) >= FUZZY_TITLE and SequenceMatcher(None, h, title).ratio() >= FUZZY_TITLE), None)
+
+
+def counted_letters(title: str) -> np.ndarray:
+    """How often each class of letters occurs, for titles of no more letters than a byte counts."""
+    return np.bincount(np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32) % _LETTERS, minlength=_LETTERS).astype(np.uint8)
+
+
+def _subsequence(a: str, b: str) -> float:
+    """Likeness that the longest common subsequence gives; the matching blocks of SequenceMatcher are one, so theirs is no larger."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for c in b:
+        both = row & at.get(c, 0)
+        row = (row + both | row - both) & full
+    return 2.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
+
+
+def grouped_titles(titles: list[str]) -> list[str]:
+    """For each title, in order of first arrival, the first representative like it, else itself."""
+    heads, out = Heads(), []
+    for t in titles:
+        best = heads.like(t)
+        if best is None:
+            heads.add(t)
+        out.append(t if best is None else best)
+    return out
 
 
 def repost_groups(df: DataFrame) -> DataFrame:

@@ -57,6 +57,31 @@ def test_title_groups(spark):
     assert got["c", "senior ux designers"] == "senior ux designer" and got["c", "accountant"] == "accountant" and got["d", "senior ux designer"] == "senior ux designer"
 
 
+def test_title_groups_of_a_large_company(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    rng, titles = random.Random(5), []
+    words = "senior junior ux ui designer disenador de interaccion producto research lead web app movil con ingles ref".split()
+    for _ in range(150):
+        base = " ".join(rng.sample(words, rng.randint(1, 7))) + f" {rng.randrange(10_000)}"
+        at = rng.randrange(len(base))
+        titles += [base, base[:at] + base[at + 1 :], base[:at] + "x" + base[at:], " ".join(sorted(base.split()))]
+    titles = list(dict.fromkeys([*titles, "a" * 300, "a" * 290 + "b" * 10, "\u0142" * 20, "d" * 256 + " e", "f e" * 90]))
+    heads, want = [], {}
+    for t in titles:
+        best = next((h for h in heads if SequenceMatcher(None, h, t).ratio() >= dedupe.FUZZY_TITLE), None)
+        if best is None:
+            heads.append(t)
+        want[t] = t if best is None else best
+    compared = []
+    monkeypatch.setattr(dedupe, "SequenceMatcher", lambda *a: compared.append(a) or SequenceMatcher(*a))
+    assert dict(zip(titles, dedupe.grouped_titles(titles), strict=True)) == want
+    # one comparison for each title, nearly
+    assert len(compared) < 2 * len(titles)
+    df = spark.createDataFrame([(k, "c", "m", t) for k, t in enumerate(titles)], "seq bigint, c string, p string, t string").repartition(3)
+    assert {r["t"]: r["title_group"] for r in dedupe.title_groups(df, "c", "p", "t").collect()} == want
+
+
 def test_sliced_join_is_whole(spark):
     df = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(90)], "k int, v int")
     n = df.groupBy("k").agg(F.count("*").alias("n"))
